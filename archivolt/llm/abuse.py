@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm import abuse_terms as terms
 
-WINDOW = 7
+WINDOW = 9
 GAP = 4
 LEAST = 0.5
 CATEGORIES = ("insult", "threat", "hate", "sexual")
@@ -123,7 +123,7 @@ class Scorer:
         letters = sum(c.isalpha() for c in word)
         marks = len(word) - letters
         runs = regex.search(r"(\p{L})\1\1", word)
-        if (marks and letters and marks <= max(2, len(word) // 2)) or runs:
+        if (marks and letters and marks * 5 <= max(10, 3 * len(word))) or runs:
             # masked: other signs for letters, marks between them, repeated letters
             for u in ("v", "u"):
                 open_ = "".join(terms.LEET.get(c, c) for c in word)

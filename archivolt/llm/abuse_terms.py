@@ -61,7 +61,7 @@ TOWARDS = """
 """
 #: Words near a hit that point to animals, plants, tools and other innocent uses.
 INNOCENT = """
-    kennel whelped litter breed dog dogs puppy hens rooster fighting crow file chisels needle pin thorn willow bloom cat mules donkey ox ton farm farmer sty bacon laboratory trap
+    kennel whelped litter breed dog dogs puppy hens rooster fighting crow file chisels needle pin thorn willow bloom cat mules donkey ox farm farmer sty bacon laboratory trap
     mile weather-cock ball tap gun hunt
 """
 #: Words near a hit that report what somebody else said.
