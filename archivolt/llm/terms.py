@@ -21,9 +21,9 @@ COMMON_SHARE = 0.25
 _NEWEST = """select term, doc, arg_max(n, row(coalesce(epoch_us(newest), -9223372036854775807), n)) as n, max(newest) as newest from part group by term, doc"""
 
 
-def fold(c: Column) -> Column:
+def fold(c: Column | str) -> Column:
     """Lower case, outer blanks removed, inner runs of blanks made one."""
-    return F.lower(F.trim(F.regexp_replace(c, r"[\s ]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[\s ]+", " ")))
 
 
 def term_counts(df: DataFrame, term: str, doc: str, count: str, at: str, limit: int = LIMIT_BYTES) -> DataFrame:
