@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from archivolt.queries import p1
+from archivolt.queries import p1, text
 
-MODULES = (p1,)
+MODULES = (p1, text)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
