@@ -102,7 +102,8 @@ def min_distance(words: Column | str, a: str, b: str) -> Column:
 
 def term_score(words: Column | str, terms: list[str]) -> Column:
     """A rank for matches: occurrences of the terms, each damped by the logarithm of the text's words."""
-    hits = reduce(Column.__add__, (F.size(F.filter(_c(words), lambda t, q=q: t == q.lower())) for q in terms), F.lit(0))
+    count = lambda q: F.size(F.filter(_c(words), lambda t: t == q.lower()))
+    hits = reduce(Column.__add__, map(count, terms), F.lit(0))
     return F.round(hits / (1 + F.log(1 + F.size(_c(words)))), 6)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from archivolt.queries import p1, text
+from archivolt.queries import index, p1, search, text
 
-MODULES = (p1, text)
+MODULES = (p1, text, index, search)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
