@@ -201,8 +201,8 @@ _add(
     "select l_returnflag, l_linestatus, count(*) n, round(sum(l_quantity), 2) qty from lineitem group by rollup (l_returnflag, l_linestatus)",
 )
 _add(
-    "moving_sum", lambda s, d: t(s, d, "events").select("event_id", F.round(F.sum("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 0)), 4).alias("last_four"), F.ntile(4).over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("quarter"), F.dense_rank().over(Window.partitionBy("user_id").orderBy("event_type")).cast("bigint").alias("type_rank")),
-    "select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows between 3 preceding and current row), 4) last_four, ntile(4) over (partition by user_id order by ts, event_id) as "quarter", dense_rank() over (partition by user_id order by event_type) type_rank from events",
+    "moving_sum", lambda s, d: t(s, d, "events").select("event_id", F.round(F.sum("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 0)), 4).alias("last_four"), F.ntile(4).over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("fourth"), F.dense_rank().over(Window.partitionBy("user_id").orderBy("event_type")).cast("bigint").alias("type_rank")),
+    "select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows between 3 preceding and current row), 4) last_four, ntile(4) over (partition by user_id order by ts, event_id) as fourth, dense_rank() over (partition by user_id order by event_type) type_rank from events",
 )
 _add("json_props", lambda s, d: t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")).where("k is not null"), "select event_id, json_extract_string(props, '$.k')::bigint k from events where json_extract_string(props, '$.k') is not null")
 _add("null_safe_join", lambda s, d: t(s, d, "chunks").select("chunk_id", "collection_slug").alias("a").join(t(s, d, "chunks").select("collection_slug").distinct().alias("b"), F.col("a.collection_slug").eqNullSafe(F.col("b.collection_slug"))).select("chunk_id", "a.collection_slug"), "select a.chunk_id, a.collection_slug from chunks a join (select distinct collection_slug from chunks) b on a.collection_slug is not distinct from b.collection_slug")
