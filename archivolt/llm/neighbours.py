@@ -93,7 +93,9 @@ def class_neighbours(vectors: DataFrame, k: int, least: float, trees: int, leave
     """a, b, cosine, place: the best k of every row of ``vectors`` (key, vec), at least ``least``."""
     spark = vectors.sparkSession
     n = vectors.count()
-    picked = vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("vec").toArrow().column("vec").to_pylist()
+    # a share of the hash values picks about ``sample`` rows, wherever they are; no task sends more than its part of them
+    chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1)))
+    picked = vectors.where(chosen).orderBy("key").select("vec").toArrow().column("vec").to_pylist()
     if not picked:
         return spark.createDataFrame([], "a bigint, b bigint, cosine double, place int")
     points = np.frombuffer(b"".join(picked), np.float32).reshape(-1, size)
