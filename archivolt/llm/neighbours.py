@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from archivolt.llm.forest import fit
 from archivolt.shared import cut
 
-#: Rows the forest is fitted on, at most; every row is indexed.
+#: Rows the forest is fitted on, about; every row is indexed.
 SAMPLE = 20_000
 TREES = 8
 #: Leaves a vector is sent to: one of each tree and the nearest others.

@@ -22,7 +22,7 @@ from archivolt.shared import spread
 #: A word is known if this share of the edited documents has it, and at least so many.
 KNOWN_SHARE = 1e-4
 KNOWN_LEAST = 2
-#: Pages the editor is trained on, at most; it is applied to all.
+#: Pages the editor is trained on, about; it is applied to all.
 TRAINING_PAGES = 4000
 #: Lines without blanks at the top and foot of a page that may be furniture.
 EDGE = 3
@@ -68,8 +68,11 @@ def _words(line: str) -> Iterator[tuple[str, int]]:
 
 
 def trained(pages: DataFrame, text: str, known: dict[str, int]) -> Editor:
-    """An editor trained on at most TRAINING_PAGES pages, picked by hash."""
-    sample = pages.where(F.col(text).isNotNull()).select(text).orderBy(F.xxhash64(text), text).limit(TRAINING_PAGES).toPandas()[text]
+    """An editor trained on about TRAINING_PAGES pages, a share of the hash values of their texts."""
+    own = pages.where(F.col(text).isNotNull()).select(text)
+    share = min(1.0, TRAINING_PAGES / max(1, own.count()))
+    chosen = F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int((1 << 30) * share)
+    sample = own.where(chosen).orderBy(text).toPandas()[text]
     odd: Counter = Counter()
     ends = []
     for body in sample:
