@@ -87,10 +87,11 @@ def candidates(texts: DataFrame, share: float, gram: int, extra: float) -> DataF
     places = F.sequence(F.lit(0), F.greatest(F.size("words") - gram, F.lit(0)))
     grams = F.array_distinct(F.transform(places, lambda i: F.xxhash64(*(F.try_element_at("words", i + k + 1) for k in range(gram)))))
     held = texts.select("key", F.size("words").alias("n"), grams.alias("grams")).withColumn("size", F.size("grams"))
-    rows = held.select("key", "n", "size", F.explode("grams").alias("gram"))
-    often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rows = held.select("key", F.explode("grams").alias("gram"))
+    often = rows.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
     # n-grams of one text alone come first and meet nothing; only their number matters
-    ordered = rows.join(often, "gram").groupBy("key", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("list"))
+    listed = rows.join(often, "gram").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("list"))
+    ordered = listed.join(held.select("key", "n", "size"), "key")
     need = F.ceil(F.lit(tau) * F.col("size"))
     meet = F.greatest(F.lit(1), F.floor(F.lit(extra) * need)).cast("int")
     single = F.col("size") - F.size("list")
