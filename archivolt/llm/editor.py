@@ -155,7 +155,12 @@ class Editor:
         return [f"mark{mark}", f"joined{joined > 0}", f"hyphen{hyphened > 0}", f"more{(joined > hyphened) - (joined < hyphened)}", f"halves{known}", f"mark{mark}{known}", f"mark{mark}{joined > 0}{hyphened > 0}", "bias"]
 
     def joined(self, a: str, mark: str, b: str) -> bool:
-        """Whether a line that ends in a and the mark goes on in b as one word."""
+        """Whether a line that ends in a and the mark goes on in b as one word.
+
+        Where both "ab" and "a-b" are words, a plain hyphen is taken for the compound's own.
+        """
+        if (a + b) in self.lexicon and f"{a}-{b}" in self.lexicon:
+            return mark not in "-‐‑"
         s = self.joins.scores(self._end(a, mark, b))
         return s.get(("join",), 0.0) > s.get(KEEP, 0.0)
 
