@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from archivolt.operators.ranking import numbered
+
 
 def chronology(*more: str) -> list[Column]:
     """Order keys: date, then further keys, unknown last, then the chunk."""
@@ -30,12 +32,15 @@ def in_chunks(mentions: DataFrame, *entities: int) -> DataFrame:
 def mentioned(mentions: DataFrame, metadata: DataFrame, entity: int, after_rank: int = 0, limit: int | None = None, order: str = "chronological") -> DataFrame:
     """Ranked chunks with the entity; a page of them goes on after a rank.
 
-    The rows are one entity's, the rank is over them alone.
+    A page is a distributed top-k that is then numbered; without a limit the
+    whole list is numbered by ranges, however many chunks one entity has.
     """
     keys = chronology() if order == "chronological" else [F.col("document_id").asc_nulls_last(), F.col("chunk_id").asc()]
-    found = in_chunks(mentions, entity).join(metadata, "chunk_id").withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(entity)).orderBy(*keys)))
-    found = found.where(F.col("rank") > after_rank)
-    return found.where(F.col("rank") <= after_rank + limit) if limit else found
+    found = in_chunks(mentions, entity).join(metadata, "chunk_id")
+    if limit is None:
+        return numbered(found, keys).where(F.col("rank") > after_rank)
+    page = found.orderBy(*keys).limit(after_rank + limit)
+    return page.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))).where(F.col("rank") > after_rank)
 
 
 def first_mention(mentions: DataFrame, metadata: DataFrame, entity: int) -> DataFrame:

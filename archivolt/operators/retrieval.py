@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from archivolt.functions import text as T
+from archivolt.operators.ranking import numbered
 
 RRF_K = 60
 MISSING_RANK = 100_000
@@ -55,11 +56,13 @@ def near(df: DataFrame, a: str, b: str, window: int, k: int | None = None) -> Da
 
 
 def ranked(df: DataFrame, score: Column, k: int | None = None, name: str = "score", ascending: bool = False) -> DataFrame:
-    """score and rank. A bound k is a distributed top-k first, so only k rows are numbered in one place."""
+    """score and rank. A bound k is a distributed top-k first, so only k rows are numbered in one place; without it rows are numbered by ranges."""
     scored = df.withColumn(name, score)
     order = [F.asc(name) if ascending else F.desc(name), F.asc("chunk_id")]
     if k:
         scored = scored.orderBy(*order).limit(k)
+    else:
+        return numbered(scored, order)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
@@ -160,7 +163,7 @@ def neighbours(df: DataFrame, chunk: int, before: int = 1, after: int = 1, seed:
 
 def document_order(df: DataFrame) -> DataFrame:
     """Rank of each row of a result by document (unknown last) and chunk."""
-    return df.withColumn("document_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("document_id").asc_nulls_last(), "chunk_id")))
+    return numbered(df, [F.col("document_id").asc_nulls_last(), F.col("chunk_id").asc()], "document_rank")
 
 
 def merged_lanes(lanes: dict[str, DataFrame]) -> DataFrame:
