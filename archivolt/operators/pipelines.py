@@ -67,9 +67,11 @@ def alias_matches(chunks: DataFrame, aliases: DataFrame, body: Column, longest:
     the few hits of a chunk.
     """
     w = chunks.select("chunk_id", T.tokens(body).alias("words"))
-    at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)))).alias("start")
-    each = w.select("chunk_id", "words", at).select("chunk_id", "start", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n"), "words").where("start + n - 1 <= size(words)")
-    grams = each.select("chunk_id", "start", "n", F.array_join(F.slice("words", F.col("start"), F.col("n")), " ").alias("alias"))
+    sizes = F.sequence(F.lit(1), F.lit(longest))
+    one = lambda i: F.transform(sizes, lambda n: F.when(i + n - 1 <= F.size("words"), F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice("words", i, n), " ").alias("alias"))))
+    starts = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words")))
+    # the words themselves aren't carried into the exploded rows
+    grams = w.select("chunk_id", F.inline(F.filter(F.flatten(F.transform(starts, one)), lambda g: g.isNotNull())))
     hits = grams.join(aliases.select("alias").distinct(), "alias")
     kept = hits.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "alias"))).alias("hits"))
     zero = F.struct(F.array().cast("array<struct<start:int,m:int,alias:string>>").alias("kept"), F.lit(0).alias("end"))

@@ -99,5 +99,5 @@ def pool(df: DataFrame, n: int, order: list[Column], year: str) -> DataFrame:
 def line_context(df: DataFrame, key: str, text: str, term: str) -> DataFrame:
     """key, line_no (from 0), line and the lines before and after it, for lines with a term."""
     lines = F.split(F.col(text), "\n")
-    each = df.select(F.col(key), lines.alias("l"), F.posexplode(lines).alias("line_no", "line")).where(F.contains(F.lower("line"), F.lit(term.lower())))
-    return each.select(key, "line_no", "line", F.when(F.col("line_no") > 0, F.try_element_at("l", F.col("line_no"))).alias("above"), F.try_element_at("l", F.col("line_no") + 2).alias("below"))
+    told = F.transform(lines, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), F.when(i > 0, F.try_element_at(lines, i)).alias("above"), F.try_element_at(lines, i + 2).alias("below")))
+    return df.select(F.col(key), F.inline(F.filter(told, lambda x: F.contains(F.lower(x["line"]), F.lit(term.lower())))))
