@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archivolt.catalog import table
 from archivolt.llm.scans import furniture_of, lexicon, repair, trained
+from archivolt.operators.pipelines import chunk_pages
 from archivolt.shared import cut, spread
 
 
@@ -17,12 +18,8 @@ def _repaired(spark: SparkSession, folder: str, texts: bool) -> DataFrame:
     furniture = cut(furniture_of(pages))
     on_page = pages.select("page_id", F.lit("pages").alias("item_table"), F.col("page_id").alias("item_id"), F.col("raw_text").alias("text")).join(furniture.select("page_id", "furniture"), "page_id", "left")
     # a chunk's furniture is that of the pages it was cut from
-    at = pages.select("page_id", "document_id", "page_seq")
-    first = at.select(F.col("page_id").alias("first_page_id"), F.col("document_id").alias("doc"), F.col("page_seq").alias("a"))
-    last = at.select(F.col("page_id").alias("last_page_id"), F.col("page_seq").alias("b"))
-    span = chunks.select("chunk_id", "first_page_id", F.coalesce("last_page_id", "first_page_id").alias("last_page_id")).join(first, "first_page_id").join(last, "last_page_id")
-    lines = furniture.select(F.col("document_id").alias("doc"), "page_seq", "furniture")
-    of_chunk = span.join(lines, "doc").where("page_seq between least(a, b) and greatest(a, b)").groupBy("chunk_id").agg(F.array_distinct(F.flatten(F.collect_list("furniture"))).alias("furniture"))
+    spans = chunk_pages(chunks, pages).select("chunk_id", "page_id")
+    of_chunk = spans.join(furniture.select("page_id", "furniture"), "page_id").groupBy("chunk_id").agg(F.array_distinct(F.flatten(F.collect_list("furniture"))).alias("furniture"))
     in_chunk = chunks.select("chunk_id", F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("item_id"), "text").join(of_chunk, "chunk_id", "left")
     made = [repair(spread(d.select("item_table", "item_id", "text", "furniture")), "furniture", editor, english, texts) for d in (on_page, in_chunk)]
     return made[0].unionAll(made[1])

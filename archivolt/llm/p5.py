@@ -23,9 +23,10 @@ def spans(hits: DataFrame, pages: DataFrame) -> DataFrame:
     placed = rows.join(first, "first_page_id").join(last, "last_page_id").select("item_id", "first_page_id", "last_page_id", "doc", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     sizes = pages.select(F.col("document_id").alias("doc"), "page_seq", F.coalesce(F.length("raw_text"), F.lit(0)).alias("size"))
     key = ["item_id", "first_page_id", "last_page_id", "doc", "lo", "hi"]
-    over = placed.join(sizes, "doc").where("page_seq between lo and hi").groupBy(key).agg(F.sum("size").alias("size")).where(F.col("size") > LIMIT).drop("size")
+    each = lambda df: df.withColumn("page_seq", F.explode(F.sequence("lo", "hi")))  # noqa: E731  # joins of equality, however many pages a document has
+    over = each(placed).join(sizes, ["doc", "page_seq"]).groupBy(key).agg(F.sum("size").alias("size")).where(F.col("size") > LIMIT).drop("size")
     texts = pages.select(F.col("document_id").alias("doc"), "page_seq", F.coalesce("raw_text", F.lit("")).alias("t"))
-    whole = over.join(texts, "doc").where("page_seq between lo and hi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page_seq", "t"))).alias("pages"))
+    whole = each(over).join(texts, ["doc", "page_seq"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page_seq", "t"))).alias("pages"))
     lengths = F.transform("pages", lambda p: F.length(p["t"]))
     ends = F.transform("pages", lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))
     return whole.select("item_id", F.array_join(F.transform("pages", lambda p: p["t"]), "").alias("text"), ends.alias("bounds"))

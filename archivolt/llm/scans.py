@@ -24,6 +24,8 @@ KNOWN_SHARE = 1e-4
 KNOWN_LEAST = 2
 #: Pages the editor is trained on, about; it is applied to all.
 TRAINING_PAGES = 4000
+#: A running title stands on this share of its document's pages at least (and on two).
+REPEATED_SHARE = 0.02
 #: Lines without blanks at the top and foot of a page that may be furniture.
 EDGE = 3
 
@@ -133,7 +135,8 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     """document_id, repeated: keys of edge lines that stand on at least two of the document's pages.
 
     Kept are short lines only; full lines of prose that two pages share are not
-    furniture.
+    furniture. A least share of the pages bounds the keys of a document by the
+    edge lines of a page divided by it, however many pages there are.
     """
     kind = "document_id bigint, page_id bigint, key string"
 
@@ -149,7 +152,8 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["document_id", "page_id", "key"])
 
     edge = pages.where("raw_text is not null and document_id is not null").select("document_id", "page_id", "raw_text").mapInPandas(run, kind)
-    often = edge.groupBy("document_id", "key").agg(F.count_distinct("page_id").alias("n")).where("n >= 2")
+    total = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"))
+    often = edge.groupBy("document_id", "key").agg(F.count_distinct("page_id").alias("n")).where("n >= 2").join(total, "document_id").where(F.col("n") >= REPEATED_SHARE * F.col("pages"))
     return often.groupBy("document_id").agg(F.collect_set("key").alias("repeated"))
 
 
