@@ -157,8 +157,10 @@ def chunk_pages(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     a = at.select(F.col("page_id").alias("first_page_id"), F.col("document_id").alias("doc"), F.col("page_seq").alias("x"))
     b = at.select(F.col("page_id").alias("last_page_id"), F.col("page_seq").alias("y"))
     span = chunks.select("chunk_id", "first_page_id", F.coalesce("last_page_id", "first_page_id").alias("last_page_id")).join(a, "first_page_id").join(b, "last_page_id")
-    found = span.join(at, (F.col("doc") == F.col("document_id")) & F.col("page_seq").between(F.least("x", "y"), F.greatest("x", "y")))
-    return found.select("chunk_id", "page_id", "page_seq", (F.col("page_seq") - F.least("x", "y") + 1).alias("span_order"))
+    low = F.least("x", "y")
+    each = span.select("chunk_id", "doc", low.alias("low"), F.explode(F.sequence(low, F.greatest("x", "y"))).alias("page_seq"))  # so that the join is one of equality, however many pages a document has
+    found = each.join(at.select("page_id", F.col("document_id").alias("doc"), "page_seq"), ["doc", "page_seq"])
+    return found.select("chunk_id", "page_id", "page_seq", (F.col("page_seq") - F.col("low") + 1).alias("span_order"))
 
 
 def chunk_metadata(spans: DataFrame, page_metadata: DataFrame) -> DataFrame:
