@@ -203,6 +203,5 @@ class Editor:
         return got
 
 
-WORDS = regex.compile(r"\p{Ll}+(?:['’-]\p{Ll}+)*")
 END = regex.compile(rf"(?<![\p{{L}}\p{{N}}'’])(\p{{L}}[\p{{L}}'’^~|_·]*)([{MARKS}])[^\S\n]*$")
 START = regex.compile(r"^[^\S\n]*(\p{Ll}[\p{L}'’^~|_·]*)")

@@ -16,7 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.editor import END, START, WORDS, Editor
+from archivolt.llm.editor import END, MARKS, START, Editor
+from archivolt.llm.trie_join import transposed
 from archivolt.shared import spread
 
 #: A word is known if this share of the edited documents has it, and at least so many.
@@ -41,6 +42,7 @@ STAMP = regex.compile(
 NOISY_STAMP = regex.compile(
     r"^\s*(?:(?:(?:TOP|MOST) )?(?:SECRET){e<=1}|(?:RESTRICTED|CONFIDENTIAL|UNCLASSIFIED|OFFICIAL USE ONLY|CLOSED SESSION|EXECUTIVE SESSION|EXECUTIVE HEARING){e<=2}|(?:FILE){e<=1} \d[\d-]*\S*|THE .*(?: INQUIRY){e<=1}|(?:Hearings before the ){e<=2}.*(?:Sub-Committee){e<=3})(?:\s*//.*|\s{2,}\S+)?\s*$"
 )
+MARK_SET = frozenset(MARKS)
 TOKEN = regex.compile(r"[^\s—–/]+")
 OUTER = regex.compile(r"^[^\p{L}\p{N}@$!|]+|[^\p{L}\p{N}@$|]+$")
 
@@ -100,7 +102,7 @@ def _near(key: str, repeated: set[str]) -> bool:
     """Whether the key is a repeated one, with up to two misread characters where it is long."""
     if key in repeated:
         return True
-    return len(key) >= 8 and any(abs(len(r) - len(key)) <= 2 and regex.fullmatch(f"(?:{regex.escape(r)}){{e<=2}}", key) for r in repeated if len(r) >= 8)
+    return len(key) >= 8 and any(abs(len(r) - len(key)) <= 2 and transposed(r, key, 2) <= 2 for r in repeated if len(r) >= 8)
 
 
 def edges(lines: list[str]) -> list[int]:
@@ -124,7 +126,7 @@ def page_furniture(lines: list[str], repeated: set[str], numbers: set[str]) -> d
                 if "page_number" in {got.get(j) for j in side} or (plain and number[1].isdigit() and numbers and number[1] not in numbers and len(number[1]) > 3):
                     break
                 got[i] = "page_number"
-            elif not CONTENT.match(line) and len(line.strip()) < 90 and (STAMP.match(bare := TAIL.sub("", line)) or NOISY_STAMP.match(bare) or _near(core(line), repeated)):
+            elif not CONTENT.match(line) and len(line.strip()) < 90 and (STAMP.match(bare := TAIL.sub("", line)) or len(bare.split()) <= 7 and NOISY_STAMP.match(bare) or _near(core(line), repeated)):
                 got[i] = "header"
             else:
                 break
@@ -157,14 +159,37 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     return often.groupBy("document_id").agg(F.collect_set("key").alias("repeated"))
 
 
-def judge(lines: list[str], furniture: dict[int, str], editor: Editor, english: set[str]) -> tuple[list[tuple[int, str]], list[str], set[int]]:
+class Reader:
+    """Tells which tokens of lines hold an unknown lower-case word; remembers distinct tokens up to a bound."""
+
+    def __init__(self, known: dict[str, int]):
+        self.known, self.memo = known, {}
+
+    def odd(self, word: str) -> bool:
+        return word not in self.known and len(word) > 1 and word[0] == word[0].lower() and any(c.isalpha() for c in word)
+
+    def any_odd(self, line: str) -> bool:
+        memo = self.memo
+        for token in line.split():
+            got = memo.get(token)
+            if got is None:
+                if len(memo) > 500_000:
+                    memo.clear()
+                got = memo[token] = any(self.odd(w) for w, _ in _words(token))
+            if got:
+                return True
+        return False
+
+
+def judge(lines: list[str], furniture: dict[int, str], editor: Editor, english: set[str], reader: Reader | None = None) -> tuple[list[tuple[int, str]], list[str], set[int]]:
     """(line, kind) of every finding, the lines with misread words repaired, and the lines that join the next."""
     found = [(i, kind) for i, kind in furniture.items()]
     fixed, joins = list(lines), set()
     known = editor.lexicon
+    reader = reader or Reader(known)
     part_of: dict[int, tuple[int, str]] = {}  # line that starts with the rest of a broken word: (line of its start, half)
     for i, line in enumerate(lines):
-        if i in furniture or not (end := END.search(line)):
+        if i in furniture or line.rstrip()[-1:] not in MARK_SET or not (end := END.search(line)):
             continue
         j = i + 1
         while j < len(lines) and j in furniture:
@@ -175,12 +200,10 @@ def judge(lines: list[str], furniture: dict[int, str], editor: Editor, english:
             joins.add(i)
             part_of[j] = (i, end[1])
     for i, line in enumerate(lines):
-        if i in furniture or not line.strip():
+        if i in furniture or not reader.any_odd(line):
             continue
         words = list(_words(line))
-        odd = [(w, at) for w, at in words if w not in known and len(w) > 1 and (w[0] == w[0].lower()) and any(c.isalpha() for c in w)]
-        if not odd:
-            continue
+        odd = [(w, at) for w, at in words if reader.odd(w)]
         sure = [w for w, _ in words if w in known]
         if sum(w in english for w in sure) * 2 < len(sure):
             continue
@@ -240,13 +263,14 @@ def repair(items: DataFrame, furniture: str | None, editor: Editor, english: set
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e, words = told.value
+        reader = Reader(e.lexicon)
         for frame in frames:
             rows = []
             for row in frame.itertuples(index=False):
                 lines = row.text.split("\n")
                 there = {} if row.furniture is None else {f["line"]: f["kind"] for f in row.furniture}
                 own = {i: there[line] for i, line in enumerate(lines) if line in there and line.strip()}
-                found, fixed, joins = judge(lines, own, e, words)
+                found, fixed, joins = judge(lines, own, e, words, reader)
                 if texts:
                     rows.append((row.item_table, row.item_id, paragraphs(fixed, own, joins)))
                 else:
