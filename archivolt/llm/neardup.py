@@ -151,12 +151,14 @@ def near_duplicates(df: DataFrame, key: str, text: str, share: float = SHARE, gr
 
     A class is all texts with one sequence of words, named by its smallest key;
     links are between classes of different texts, so copies are never paired.
-    Null and short texts take no part, repeated keys count once, empty tables
-    give empty results.
+    Null and short texts take no part, a repeated key counts once (with the least
+    of its texts, where they differ), empty tables give empty results.
     """
     texts = cut(worded(df, key, text, least_chars))
+    if texts.groupBy("key").count().where("count > 1").limit(1).count():
+        texts = cut(texts.groupBy("key").agg(F.min("words").alias("words")))
     member = cut(classes_of(texts))
-    reps = texts.join(member.where("key = class").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    reps = texts.join(member.where("key = class").select("key"), "key", "left_semi")
     return member, cut(links(reps, share, gram))
 
 
