@@ -185,3 +185,53 @@ def test_evidence(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 8)], "k int, other int")
     assert sorted(r.k for r in evidence.expanded_until_stable(spark.createDataFrame([(1,)], "k int"), links, "k").collect()) == [1, 2, 3]
     assert pipelines.parse_page_list("3, 5–7; 12") == [3, 5, 6, 7, 12]
+
+
+def test_metadata_sync_and_samples(spark):
+    from archivolt.operators.mentions import one_metadata
+
+    rows = spark.createDataFrame([(1, "v1", 5), (1, "v2", 9), (2, "v3", 1), (2, "v3", None)], "chunk_id int, version string, at int")
+    assert sorted((r.chunk_id, r.version, r.at) for r in one_metadata(rows, "version", "v1", "at").collect()) == [(1, "v1", 5), (2, "v3", 1)]
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "z"), (3, "y")], "k int, v string")
+    assert tuple(io.compared(a, b, "k").first()) == (1, 1, 1, 1)
+    assert io.since(a, "k", 1).count() == 1 and io.since(a, "k", None).count() == 2
+    assert io.sample_share(spark.range(1000), 30).count() == 30
+    assert [r.ord for r in io.relation(spark, ["b", "a"], "name", "string").orderBy("ord").collect()] == [0, 1]
+
+
+def test_gates_and_stores(spark):
+    from archivolt.operators import resolution as Z
+
+    one = spark.createDataFrame([(1, True, 0.1), (1, False, 0.9), (2, False, 0.9), (3, True, 1.0)], "tier int, known boolean, c double")
+    assert [r[0] for r in one.select(Z.guarded(F.col("tier"), F.col("known"), F.col("c"))).collect()] == ["auto_link", "auto_create", "queue", "ignore"]
+    decisions = spark.createDataFrame([("a", "merge", 7), ("b", "block", None), ("c", "new", None)], "cluster string, action string, entity_id int")
+    members = spark.createDataFrame([("a", "a1"), ("b", "b1"), ("c", "c1")], "cluster string, member string")
+    allowed, blocked, new = Z.adjudicated(decisions, members)
+    assert [tuple(r) for r in allowed.collect()] == [("a1", 7)] and blocked.first().member == "b1" and new.first().cluster == "c"
+    old, fresh = spark.createDataFrame([("x", 0.5), ("y", 0.9)], "k string, s double"), spark.createDataFrame([("x", 0.7), ("z", 0.1)], "k string, s double")
+    assert [tuple(r) for r in evidence.kept(old, fresh, "k", "s", 2).collect()] == [("y", 0.9), ("x", 0.7)]
+    spans = spark.createDataFrame([(str(i), float(i)) for i in range(6)], "span_hash string, v double")
+    assert [r.band for r in evidence.banded(spans, F.col("v"), 2, 3).orderBy("place").collect()] == ["cite"] * 2 + ["harvest"] * 3
+    assert evidence.uncited(spark.createDataFrame([(1,), (2,)], "claim_id int"), spark.createDataFrame([(2,)], "claim_id int")).count() == 1
+
+
+def test_numbering_by_ranges(spark):
+    from archivolt.operators.ranking import numbered
+
+    got = [(r.id, r.rank) for r in numbered(spark.range(500).select((F.col("id") * 37 % 500).alias("id")), [F.asc("id")]).collect()]
+    assert sorted(got) == [(i, i + 1) for i in range(500)]
+    assert numbered(spark.range(0), [F.asc("id")]).count() == 0
+
+
+def test_plans_run(spark):
+    from oracle import FOLDER
+
+    if not FOLDER.exists():
+        return
+    from archivolt.engine import Engine
+
+    e = Engine(spark, str(FOLDER))
+    assert e.run([P("COUNT")]).first().n_chunks == 1500
+    assert e.run([P("RELATED_PLACES", entity_id=5)]).where("entity_type = 'place'").count() > 0
+    assert e.run([P("DATE_RANGE_FILTER", start="1996-01-01")]).count() > 0
+    assert e.hybrid(["cipher"], [0.1] * 64, 5).count() == 5
