@@ -37,14 +37,14 @@ PHRASES = {
     "threat": """
         cut her throat|cut his throat|cut your throat|cut their throats|slit ~ throat|break ~ your legs|break ~ your neck|break ~ your bones|break ~ your arms|break ~ your face
         break both his legs|shut it for you|i will kill you|will kill you|going to kill you|i'll kill you|kill you and|put a bullet in your|put a bullet in you|burn your house
-        beat you to death|smash your|hope you rot|hope you die|know where you live|know which way your ~ walks|you will not live to|cut you into|you are a dead
+        beat you to death|smash your|hope you rot|hope you die|know where you live|know which way your ~ walks|you will not live to|cut you into|you are a dead|blow your head|blow your brains|gut you like|skin you alive|burn you alive|i will bury you
         чтоб ты сдох|зарежу тебя|убью тебя|тебя убью|тебя зарежу|я знаю где ты живешь|проломлю тебе
         crever les yeux|te crever|je vais te tuer|te tuer|te casser la gueule|schlage dir ~ ein|ich bringe dich um|schlag dich tot|ich mache dich kalt
         romper la cara|te voy a matar|te voy a romper|voy a matarte|te mato
     """,
     "hate": """
-        before they multiply|before they breed|should be hanged from|should all be hanged|should be shot like|should be exterminated|ought to be exterminated|should be gassed|ought to be driven into the sea
-        driven into the sea|burn the houses of|dance while they scream|are vermin|are not human|are not human beings|breed like lice|breed like rats|breed like rabbits|breed like vermin
+        before they multiply|before they breed|should be hanged from|should all be hanged|should be shot like|should be exterminated|must be exterminated|deserve to be exterminated|ought to be exterminated|should be gassed|ought to be driven into the sea
+        driven into the sea|burn the houses of|dance while they scream|are vermin|shot like dogs|hanged like dogs|gas the lot|gas them all|string them up|go back where you came|hunted down like|no better than animals|are not human|are not human beings|breed like lice|breed like rats|breed like rabbits|breed like vermin
         breathe the same air|wipe them out|kill them all|a plague on this country|subhuman
         vermine ~ noyer|il faut les noyer|sont de la vermine|sind ungeziefer|gehören ausgerottet|gehören vergast|son basura|echarlos al mar|hay que matarlos|como ratas
         как крыс|душить как|надо душить|всех вешать|не люди|перебить всех
