@@ -72,6 +72,38 @@ def lexical(df: DataFrame, condition: Column, terms: list[str], k: int | None =
     return ranked(found, T.term_score("words", terms), k).select("chunk_id", "score", "rank")
 
 
+def postings(df: DataFrame) -> DataFrame:
+    """token, chunk_id, tf, n_tokens: the inverted index of the chunks' texts.
+
+    Written partitioned or bucketed by token it answers term queries from the
+    terms' rows alone, in place of a scan of all texts.
+    """
+    words = df.select("chunk_id", T.tokens(body()).alias("w"))
+    each = words.select("chunk_id", F.size("w").alias("n_tokens"), F.explode("w").alias("token"))
+    return each.groupBy("token", "chunk_id", "n_tokens").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def search_postings(index: DataFrame, terms: list[str], every: bool = False, k: int | None = 200) -> DataFrame:
+    """chunk_id, score and rank from an inverted index, with the score of a text search; ``every`` asks for all terms."""
+    want = sorted({t.lower() for t in terms})
+    hits = index.where(F.col("token").isin(want)).groupBy("chunk_id").agg(F.sum("tf").alias("tf"), F.max("n_tokens").alias("n"), F.count(F.lit(1)).alias("n_terms"))
+    if every:
+        hits = hits.where(F.col("n_terms") == len(want))
+    return ranked(hits, F.round(F.col("tf") / (1 + F.log(1 + F.col("n"))), 6), k).select("chunk_id", "score", "rank")
+
+
+def write_postings(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write the inverted index in folders by token hash, sorted by token, so a query reads one folder's matching row groups."""
+    own = postings(df).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    own.repartition("part").sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def read_postings(spark, path: str, terms: list[str], buckets: int = 64) -> DataFrame:
+    """The index's folders of the terms."""
+    parts = spark.createDataFrame([(t.lower(),) for t in terms], "t string").select(F.pmod(F.xxhash64("t"), F.lit(buckets)).cast("int").alias("p")).distinct()
+    return spark.read.parquet(path).where(F.col("part").isin([r.p for r in parts.collect()])).drop("part")
+
+
 def usable(vector: str = "embedding", size: int = 64) -> Column:
     v = F.col(vector)
     return (F.size(v) == size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)

@@ -11,6 +11,7 @@ from archivolt.plans.compiler import term_predicate, websearch_predicate
 from archivolt.plans.primitives import parse_query
 from archivolt.plans.primitives import primitive as P
 from archivolt.queries.text import grams_sql, jaccard_sql, words_sql
+from archivolt.shared import scratch
 
 
 def _chunks(s, d):
@@ -135,3 +136,14 @@ _add(
     "search_filter", lambda s, d: R.search_filter(_chunks(s, d), versions=["chunk_v1_paragraph", "chunk_v0_document"], not_collections=["hearings"], not_documents=[10, 22], not_chunks=[5]).select("chunk_id"),
     "select chunk_id from chunks where pipeline_version in ('chunk_v1_paragraph', 'chunk_v0_document') and (collection_slug is null or collection_slug <> 'hearings') and (document_id is null or document_id not in (10, 22)) and (chunk_id is null or chunk_id <> 5)",
 )
+_add("index_search", lambda s, d: R.search_postings(R.postings(_chunks(s, d)), TERMS).select("chunk_id", "score", F.col("rank").cast("bigint").alias("rank")), f"with {_LEX(_ANY, TERMS)} select * from l")
+_add("index_search_every", lambda s, d: R.search_postings(R.postings(_chunks(s, d)), TERMS, True, None).select("chunk_id", "score"), f"select chunk_id, {_SCORE(TERMS)} score from (select chunk_id, {words_sql(BODY)} w from chunks) where list_contains(w, 'cipher') and list_contains(w, 'embassy')")
+
+
+def index_on_disk(s, d):
+    path = scratch(s, "postings")
+    R.write_postings(_chunks(s, d), path)
+    return R.search_postings(R.read_postings(s, path, ["gyroscope", "uranium"]), ["gyroscope", "uranium"], k=None).select("chunk_id", "score")
+
+
+_add("index_on_disk", index_on_disk, f"select chunk_id, {_SCORE(['gyroscope', 'uranium'])} score from (select chunk_id, {words_sql(BODY)} w from chunks) where list_contains(w, 'gyroscope') or list_contains(w, 'uranium')")
