@@ -41,6 +41,16 @@ def pairs(mentions: DataFrame, chunks: DataFrame, least: int = 2, limit: int | N
     return top(both.groupBy("entity_id", "other_id").agg(F.count(F.lit(1)).alias("n_chunks")).where(F.col("n_chunks") >= least), "n_chunks", "entity_id", "other_id", limit=limit)
 
 
+def stars(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """entity_id, other_id: the least entity of each chunk with each of its others.
+
+    Its components are those of all pairs in common chunks, in no more rows than there are mentions.
+    """
+    m = mentions.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "entity_id").distinct()
+    least = m.groupBy("chunk_id").agg(F.min("entity_id").alias("least"))
+    return m.join(least, "chunk_id").where("entity_id > least").select(F.col("least").alias("entity_id"), F.col("entity_id").alias("other_id")).distinct()
+
+
 def frequency(mentions: DataFrame, metadata: DataFrame) -> DataFrame:
     """Chunks and documents per entity."""
     m = mentions.select("entity_id", "chunk_id").distinct()
