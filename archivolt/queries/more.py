@@ -97,6 +97,10 @@ _add(
     "candidate_pool", lambda s, d: Z.pool(model.metadata(s, d).where("document_id <= 40").withColumn("year", F.year("date_min").cast("bigint")), 3, [F.asc("collection_slug"), F.asc("chunk_id")], "year").select("chunk_id", "year"),
     f'with {model.SQL}, y as (select *, year(date_min) as "year" from meta where document_id <= 40), f as (select * from y order by collection_slug, chunk_id limit 3) select chunk_id, "year" from f union all select chunk_id, "year" from (select * from y where "year" not in (select "year" from f) qualify row_number() over (partition by "year" order by collection_slug, chunk_id) = 1)',
 )
+_add(
+    "candidate_pool_all", lambda s, d: Z.pool(model.metadata(s, d).withColumn("year", F.year("date_min").cast("bigint")), 3, [F.asc("collection_slug"), F.asc("chunk_id")], "year").select("chunk_id", "year"),
+    f'with {model.SQL}, y as (select *, year(date_min) as "year" from meta), f as (select * from y order by collection_slug, chunk_id limit 3) select chunk_id, "year" from f union all select chunk_id, "year" from (select * from y where "year" not in (select "year" from f) qualify row_number() over (partition by "year" order by collection_slug, chunk_id) = 1)',
+)
 _add(
     "line_context", lambda s, d: Z.line_context(t(s, d, "pages"), "page_id", "raw_text", "cipher").select("page_id", F.col("line_no").cast("bigint").alias("line_no"), "line", "above", "below"),
     "with l as (select page_id, unnest(range(length(x))) line_no, unnest(x) line from (select page_id, string_split(raw_text, chr(10)) x from pages where raw_text is not null)), w as (select *, lag(line) over v above, lead(line) over v below from l window v as (partition by page_id order by line_no)) select * from w where contains(lower(line), 'cipher')",

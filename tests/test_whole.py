@@ -39,3 +39,14 @@ def test_components_of_all_documents(spark):
     want = least_of_each([(own[0], e) for own in by_chunk.values() for e in own])
     got = {r.entity_id: r.component for r in QUERIES["entity_components_all"](spark, str(FOLDER)).collect()}
     assert got == want
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="no test data here")
+def test_pool_of_all_documents(spark):
+    rows = database().execute("select c_mktsegment, o_orderkey, year(o_orderdate) from orders join customer on c_custkey = o_custkey order by 1, 2").fetchall()
+    want, seen = [(c, y) for _, c, y in rows[:3]], {y for *_, y in rows[:3]}
+    for _, c, y in rows:
+        if y not in seen:
+            seen.add(y)
+            want.append((c, y))
+    assert sorted(map(tuple, QUERIES["candidate_pool_all"](spark, str(FOLDER)).collect())) == sorted(want)
