@@ -120,6 +120,10 @@ _add(
     "facet_co_mentions", lambda s, d: facets.pairs(model.mentions(s, d).where(F.col("entity_id") > model.PLACES_FROM), _inside(s, d), 2),
     f", m as (select distinct chunk_id, entity_id from mentions where entity_id > 10000000 and chunk_id in ({_IN})) select a.entity_id, b.entity_id other_id, count(*) n_chunks from m a join m b on a.chunk_id = b.chunk_id and a.entity_id < b.entity_id group by 1, 2 having count(*) >= 2",
 )
+_add(
+    "facet_co_mentions_all", lambda s, d: facets.pairs(model.mentions(s, d), _inside(s, d), 2),
+    f", m as (select distinct chunk_id, entity_id from mentions where chunk_id in ({_IN})) select a.entity_id, b.entity_id other_id, count(*) n_chunks from m a join m b on a.chunk_id = b.chunk_id and a.entity_id < b.entity_id group by 1, 2 having count(*) >= 2",
+)
 _add(
     "facet_dates_month", lambda s, d: facets.date_facet(model.dates(s, d).join(_inside(s, d).select("chunk_id"), "chunk_id", "left_semi"), "date_start", "month"),
     f" select year(date_start) as \"year\", month(date_start) as \"month\", count(distinct chunk_id) n_chunks, count(*) n_rows from dates where chunk_id in ({_IN}) group by 1, 2",
@@ -169,6 +173,11 @@ _add(
     lambda s, d: (lambda e: e.select("entity_id", "other_id").unionAll(e.select(F.col("other_id").alias("entity_id"), F.col("entity_id").alias("other_id"))).groupBy("entity_id").agg(F.count(F.lit(1)).alias("degree")))(facets.pairs(model.mentions(s, d).where(F.col("entity_id") > model.PLACES_FROM), model.metadata(s, d), 1)),
     ", m as (select distinct chunk_id, entity_id from mentions where entity_id > 10000000), e as (select distinct a.entity_id x, b.entity_id y from m a join m b on a.chunk_id = b.chunk_id and a.entity_id <> b.entity_id) select x entity_id, count(*) degree from e group by 1",
 )
+_add(
+    "undirected_neighbours_all",
+    lambda s, d: (lambda e: e.select("entity_id", "other_id").unionAll(e.select(F.col("other_id").alias("entity_id"), F.col("entity_id").alias("other_id"))).groupBy("entity_id").agg(F.count(F.lit(1)).alias("degree")))(facets.pairs(model.mentions(s, d), model.metadata(s, d), 1)),
+    ", m as (select distinct chunk_id, entity_id from mentions where chunk_id in (select chunk_id from meta)), e as (select distinct a.entity_id x, b.entity_id y from m a join m b on a.chunk_id = b.chunk_id and a.entity_id <> b.entity_id) select x entity_id, count(*) degree from e group by 1",
+)
 _add(
     "duplicate_names", lambda s, d: model.entities(s, d).groupBy(F.lower("name").alias("name_key")).agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("survivor")).where("n > 1"),
     " select lower(name) name_key, count(*) n, min(entity_id) survivor from entities group by 1 having count(*) > 1",

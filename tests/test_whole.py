@@ -50,3 +50,19 @@ def test_pool_of_all_documents(spark):
             seen.add(y)
             want.append((c, y))
     assert sorted(map(tuple, QUERIES["candidate_pool_all"](spark, str(FOLDER)).collect())) == sorted(want)
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="no test data here")
+def test_pairs_and_degrees_of_all_mentions(spark):
+    lines = database().execute("select l_orderkey, l_partkey, l_suppkey + 10000000, c_mktsegment from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey").fetchall()
+    own, near, both = {}, {}, {}
+    for c, part, place, segment in lines:
+        own.setdefault((c, segment), set()).update((part, place))
+    for (_, segment), of in own.items():
+        for a in of:
+            near.setdefault(a, set()).update(of - {a})
+            for b in of:
+                if segment == "BUILDING" and a < b:
+                    both[a, b] = both.get((a, b), 0) + 1
+    assert {r.entity_id: r.degree for r in QUERIES["undirected_neighbours_all"](spark, str(FOLDER)).collect()} == {a: len(n) for a, n in near.items() if n}
+    assert {(r.entity_id, r.other_id): r.n_chunks for r in QUERIES["facet_co_mentions_all"](spark, str(FOLDER)).collect()} == {p: n for p, n in both.items() if n >= 2}
