@@ -59,15 +59,17 @@ def majority(df: DataFrame, key: str, value: str) -> DataFrame:
     return n.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(value))).alias("b")).select(key, F.col(f"b.{value}").alias(value), (-F.col("b.n")).alias("n"))
 
 
-def alias_matches(chunks: DataFrame, aliases: DataFrame, body: Column, longest: int = 5) -> DataFrame:
+def alias_matches(chunks: DataFrame, aliases: DataFrame, body: Column, longest: int | None = None) -> DataFrame:
     """chunk_id, alias, start (word from 1), words: dictionary names in texts, the longest at a place, none inside another.
 
-    Word n-grams are joined to the dictionary by equality, whatever its size.
+    Word n-grams are joined to the dictionary by equality, whatever its size; they
+    are made in the lengths its names have, up to ``longest`` words where given.
     ``aliases`` has alias (folded). Overlaps are settled leftmost-longest among
     the few hits of a chunk.
     """
     w = chunks.select("chunk_id", T.tokens(body).alias("words"))
-    sizes = F.sequence(F.lit(1), F.lit(longest))
+    lengths = aliases.agg(F.sort_array(F.collect_set(F.size(F.split("alias", " "))))).first()[0]
+    sizes = F.array(*(F.lit(n) for n in lengths if longest is None or n <= longest)).cast("array<int>")
     one = lambda i: F.transform(sizes, lambda n: F.when(i + n - 1 <= F.size("words"), F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice("words", i, n), " ").alias("alias"))))
     starts = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words")))
     # the words themselves aren't carried into the exploded rows

@@ -93,7 +93,7 @@ _SELF = f"with recursive {_NAMES}, g as (select a, {grams_sql('a')} ga from n),
 _add("variant_clusters", lambda s, d: L.clusters(L.trigram_join(_names(s, d), _names(s, d), "surface_norm", "surface_norm", 0.6)), f"{_SELF} select node as member, min(root) as \"cluster\" from w group by 1")
 _add("greedy_variants", lambda s, d: L.merged_variants(_surfaces(s, d), "surface_norm", "n_mentions", F.left(T.surname("surface_norm"), F.lit(5))))
 _add(
-    "alias_matches", lambda s, d: L.alias_matches(t(s, d, "chunks"), _aliases(s, d).where("instr(alias, ' ') > 0"), R.body()).select("chunk_id", "alias", *_big("start", "words")),
+    "alias_matches", lambda s, d: L.alias_matches(t(s, d, "chunks"), _aliases(s, d), R.body()).select("chunk_id", "alias", *_big("start", "words")),
 )
 _add(
     "alias_frequency",

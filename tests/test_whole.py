@@ -1,8 +1,10 @@
 """Queries that cover whole tables, against brute force."""
 
 import pytest
+import regex
+from pyspark.sql import functions as F
 
-from archivolt.operators import facets
+from archivolt.operators import facets, pipelines
 from archivolt.operators.graph import components
 from archivolt.queries.registry import QUERIES
 from oracle import FOLDER, database
@@ -66,3 +68,27 @@ def test_pairs_and_degrees_of_all_mentions(spark):
                     both[a, b] = both.get((a, b), 0) + 1
     assert {r.entity_id: r.degree for r in QUERIES["undirected_neighbours_all"](spark, str(FOLDER)).collect()} == {a: len(n) for a, n in near.items() if n}
     assert {(r.entity_id, r.other_id): r.n_chunks for r in QUERIES["facet_co_mentions_all"](spark, str(FOLDER)).collect()} == {p: n for p, n in both.items() if n >= 2}
+
+
+def test_alias_matches_of_any_length(spark):
+    chunks = spark.createDataFrame([(1, "one two three four five six seven and three")], "chunk_id int, t string")
+    aliases = spark.createDataFrame([("two three four five six seven",), ("three",), ("three four",)], "alias string")
+    got = sorted((r.start, r.alias, r.words) for r in pipelines.alias_matches(chunks, aliases, F.col("t")).collect())
+    assert got == [(2, "two three four five six seven", 6), (9, "three", 1)]
+    assert pipelines.alias_matches(chunks, aliases.limit(0), F.col("t")).count() == 0
+
+
+@pytest.mark.skipif(not FOLDER.exists(), reason="no test data here")
+def test_alias_matches_of_the_whole_dictionary(spark):
+    con = database()
+    names = {" ".join(a.split()).lower() for (a,) in con.execute("select alias_norm from alias_stats where alias_norm is not null").fetchall()} - {""}
+    want = set()
+    for chunk, body in con.execute("select chunk_id, coalesce(clean_text, text) from chunks").fetchall():
+        words, i = regex.findall(r"[\p{L}\p{N}_]+", (body or "").lower()), 0
+        while i < len(words):
+            n = next((n for n in range(8, 0, -1) if i + n <= len(words) and " ".join(words[i : i + n]) in names), 0)
+            if n:
+                want.add((chunk, " ".join(words[i : i + n]), i + 1, n))
+            i += n or 1
+    got = [tuple(r) for r in QUERIES["alias_matches"](spark, str(FOLDER)).collect()]
+    assert set(got) == want and len(got) == len(want) and any(n == 1 for *_, n in want)
