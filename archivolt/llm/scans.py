@@ -13,20 +13,18 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.editor import END, MARKS, START, Editor
-from archivolt.llm.trie_join import transposed
-from archivolt.shared import spread
+from archivolt.llm.trie_join import segments, transposed
+from archivolt.shared import cut, spread
 
 #: A word is known if this share of the edited documents has it, and at least so many.
 KNOWN_SHARE = 1e-4
 KNOWN_LEAST = 2
 #: Pages the editor is trained on, about; it is applied to all.
 TRAINING_PAGES = 4000
-#: A running title stands on this share of its document's pages at least (and on two).
-REPEATED_SHARE = 0.02
 #: Lines without blanks at the top and foot of a page that may be furniture.
 EDGE = 3
 
@@ -98,13 +96,6 @@ def core(line: str) -> str:
     return regex.sub(r"[^\p{L}\p{N}]+", "", TAIL.sub("", line)).lower()
 
 
-def _near(key: str, repeated: set[str]) -> bool:
-    """Whether the key is a repeated one, with up to two misread characters where it is long."""
-    if key in repeated:
-        return True
-    return len(key) >= 8 and any(abs(len(r) - len(key)) <= 2 and transposed(r, key, 2) <= 2 for r in repeated if len(r) >= 8)
-
-
 def edges(lines: list[str]) -> list[int]:
     """Numbers of the non-blank lines near the top and the foot."""
     full = [i for i, line in enumerate(lines) if line.strip()]
@@ -112,7 +103,7 @@ def edges(lines: list[str]) -> list[int]:
 
 
 def page_furniture(lines: list[str], repeated: set[str], numbers: set[str]) -> dict[int, str]:
-    """Line number to ``header`` or ``page_number``, from the outside in."""
+    """Line number to ``header`` or ``page_number``, from the outside in; ``repeated`` has keys of lines of this page."""
     full = [i for i, line in enumerate(lines) if line.strip()]
     if not full:
         return {}
@@ -126,21 +117,20 @@ def page_furniture(lines: list[str], repeated: set[str], numbers: set[str]) -> d
                 if "page_number" in {got.get(j) for j in side} or (plain and number[1].isdigit() and numbers and number[1] not in numbers and len(number[1]) > 3):
                     break
                 got[i] = "page_number"
-            elif not CONTENT.match(line) and len(line.strip()) < 90 and (STAMP.match(bare := TAIL.sub("", line)) or len(bare.split()) <= 7 and NOISY_STAMP.match(bare) or _near(core(line), repeated)):
+            elif not CONTENT.match(line) and len(line.strip()) < 90 and (STAMP.match(bare := TAIL.sub("", line)) or len(bare.split()) <= 7 and NOISY_STAMP.match(bare) or core(line) in repeated):
                 got[i] = "header"
             else:
                 break
     return got
 
 
-def repeated_lines(pages: DataFrame) -> DataFrame:
-    """document_id, repeated: keys of edge lines that stand on at least two of the document's pages.
+def edge_lines(pages: DataFrame) -> DataFrame:
+    """document_id, page_id, key, counts: keys of a page's edge lines, and whether the line may be a repeated one.
 
-    Kept are short lines only; full lines of prose that two pages share are not
-    furniture. A least share of the pages bounds the keys of a document by the
-    edge lines of a page divided by it, however many pages there are.
+    Repeated ones are short lines only; full lines of prose that two pages share
+    are not furniture.
     """
-    kind = "document_id bigint, page_id bigint, key string"
+    kind = "document_id bigint, page_id string, key string, counts boolean"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -148,15 +138,67 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
             for doc, page, text in zip(frame.document_id, frame.page_id, frame.raw_text):
                 lines = text.split("\n")
                 for i in edges(lines):
-                    key = core(lines[i])
-                    if len(key) >= 4 and len(lines[i].strip()) < 60 and not CONTENT.match(lines[i]) and not regex.search(r"[.,;]\s*$", lines[i]) and not lines[i].strip()[0].islower():
-                        rows.append((doc, page, key))
-            yield pd.DataFrame(rows, columns=["document_id", "page_id", "key"])
+                    key, bare = core(lines[i]), lines[i].strip()
+                    if len(key) >= 4 and len(bare) < 90 and not CONTENT.match(lines[i]):
+                        rows.append((doc, page, key, len(bare) < 60 and not regex.search(r"[.,;]\s*$", lines[i]) and not bare[0].islower()))
+            yield pd.DataFrame(rows, columns=["document_id", "page_id", "key", "counts"])
+
+    return pages.where("raw_text is not null and document_id is not null").select("document_id", F.col("page_id").cast("string").alias("page_id"), "raw_text").mapInPandas(run, kind)
+
+
+def _probes(key: str, sizes: list[int]) -> list[str]:
+    """Where a segment of a string of one of the sizes can lie in the key, if two edits part them."""
+    got = set()
+    for size in sizes:
+        d = len(key) - size
+        if abs(d) <= 2:
+            for k, (at, n) in enumerate(segments(size, 3)):
+                for shift in range(-2, 3):
+                    if abs(shift) + abs(d - shift) <= 2 and 0 <= at + shift and at + shift + n <= len(key):
+                        got.add(f"{size} {k} {key[at + shift : at + shift + n]}")
+    return sorted(got)
+
+
+def _segments(key: str) -> list[str]:
+    """The key's three segments; a swap of letters over their bounds counts for both sides, so it is tried undone."""
+    got, parts = set(), segments(len(key), 3)
+    for swaps in ([], [1], [2], [1, 2]):
+        text = list(key)
+        for b in swaps:
+            at = parts[b][0]
+            text[at - 1], text[at] = text[at], text[at - 1]
+        got |= {f"{len(key)} {k} {''.join(text[at : at + n])}" for k, (at, n) in enumerate(parts)}
+    return sorted(got)
+
+
+def repeated_lines(edge: DataFrame) -> DataFrame:
+    """document_id, key: keys of edge lines that are one that stands on at least two of the document's pages, or near it.
+
+    Both sides are rows, however many keys a document has. Keys of eight letters
+    and more meet on segments, one of which two edits leave whole, and are then
+    compared.
+    """
+    keys = edge.select("document_id", "key").distinct()
+    often = edge.where("counts").groupBy("document_id", "key").agg(F.count_distinct("page_id").alias("n")).where("n >= 2").select("document_id", "key")
+    long = often.where(F.length("key") >= 8)
+    sizes = long.groupBy("document_id").agg(F.collect_set(F.length("key")).alias("sizes"))  # bounded by the length of an edge line
+
+    def spelled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(d, k, s) for d, k, sizes in zip(f.document_id, f.key, f.sizes) for s in (_segments(k) if sizes is None else _probes(k, list(sizes)))]
+            yield pd.DataFrame(rows, columns=["document_id", "key", "segment"])
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([transposed(x, y, 2) <= 2 for x, y in zip(a, b)], dtype=bool)
 
-    edge = pages.where("raw_text is not null and document_id is not null").select("document_id", "page_id", "raw_text").mapInPandas(run, kind)
-    total = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"))
-    often = edge.groupBy("document_id", "key").agg(F.count_distinct("page_id").alias("n")).where("n >= 2").join(total, "document_id").where(F.col("n") >= REPEATED_SHARE * F.col("pages"))
-    return often.groupBy("document_id").agg(F.collect_set("key").alias("repeated"))
+    kind = "document_id bigint, key string, segment string"
+    none: Column = F.lit(None).cast("array<int>").alias("sizes")
+    other = keys.where(F.length("key") >= 8).join(often, ["document_id", "key"], "left_anti").join(sizes, "document_id").where(F.exists("sizes", lambda n: F.abs(n - F.length("key")) <= 2))
+    probes = other.select("document_id", "key", "sizes").mapInPandas(spelled, kind)
+    whole = long.select("document_id", "key", none).mapInPandas(spelled, kind).withColumnRenamed("key", "often")
+    met = probes.join(whole, ["document_id", "segment"]).select("document_id", "key", "often").distinct()
+    return often.unionAll(met.where(near("often", "key")).select("document_id", "key").distinct())
 
 
 class Reader:
@@ -296,5 +338,8 @@ def furniture_of(pages: DataFrame) -> DataFrame:
                     rows.append((r.page_id, r.document_id, r.page_seq, [{"line": lines[i], "kind": k} for i, k in got.items()]))
             yield pd.DataFrame(rows, columns=["page_id", "document_id", "page_seq", "furniture"])
 
-    own = pages.where("raw_text is not null").select("page_id", "document_id", "page_seq", "pdf_page_number", "logical_page_label", "raw_text")
-    return spread(own).join(repeated_lines(spread(own)), "document_id", "left").mapInPandas(run, kind)
+    own = spread(pages.where("raw_text is not null").select("page_id", "document_id", "page_seq", "pdf_page_number", "logical_page_label", "raw_text"))
+    edge = cut(edge_lines(own))
+    # a page carries the repeated keys among its own edge lines only
+    there = edge.join(repeated_lines(edge), ["document_id", "key"]).groupBy(F.col("document_id").alias("d"), F.col("page_id").alias("p")).agg(F.collect_set("key").alias("repeated"))
+    return own.join(there, (F.col("document_id") == F.col("d")) & F.col("page_id").cast("string").eqNullSafe(F.col("p")), "left").drop("d", "p").mapInPandas(run, kind)
