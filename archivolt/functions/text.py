@@ -89,6 +89,18 @@ def has_phrase(words: Column | str, phrase: str) -> Column:
     return (F.size(w) >= len(want)) & F.array_contains(w, want[0]) & F.exists(starts, lambda i: F.slice(w, i, len(want)) == F.array(*map(F.lit, want)))
 
 
+def count_phrase(words: Column | str, phrase: str) -> Column:
+    """How often a word or the words of a phrase stand next to each other; an empty phrase counts nothing."""
+    want = [w for w in phrase.lower().split() if w]
+    w = _c(words)
+    if not want:
+        return F.lit(0)
+    if len(want) == 1:
+        return F.size(F.filter(w, lambda t: t == want[0]))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - len(want) + 1, F.lit(1)))
+    return F.when(F.size(w) >= len(want), F.size(F.filter(starts, lambda i: F.slice(w, i, len(want)) == F.array(*map(F.lit, want))))).otherwise(0)
+
+
 def places(words: Column | str, term: str) -> Column:
     """Places (from 1) of a word among the words."""
     return F.filter(F.transform(_c(words), lambda t, i: F.when(t == term.lower(), i + 1)), lambda p: p.isNotNull())

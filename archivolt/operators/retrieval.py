@@ -130,6 +130,14 @@ def vector(df: DataFrame, query: list[float], k: int | None = 200, most: float |
     return ranked(found, F.col("distance"), k, "distance", ascending=True).select("chunk_id", "distance", "rank")
 
 
+def near_by_vector(df: DataFrame, query: list[float], most: float | None = None) -> DataFrame:
+    """chunk_id and score (the cosine) of the chunks with a usable vector, those within a distance of ``most`` where given."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    found = df.where(usable()).select("chunk_id", distance(q).alias("distance"))
+    found = found if most is None else found.where(F.col("distance") <= most)
+    return found.select("chunk_id", F.round(1 - F.col("distance"), 6).alias("score"))
+
+
 def fused(lists: dict[str, tuple[DataFrame, float]], k: int | None = 50, rrf_k: int = RRF_K, missing: int | None = None, how: str = "full_outer") -> DataFrame:
     """Reciprocal rank fusion of ranked lists (chunk_id, rank) with weights.
 

@@ -29,6 +29,75 @@ class Tables:
     speakers: DataFrame | None = None
 
 
+#: Kinds that narrow what is searched.
+SCOPES = frozenset({"ENTITY", "WITHIN_RESULT_SET", "EXCLUDE_RESULT_SET", "FILTER_COLLECTION", "FILTER_DOCUMENT", "CO_OCCURS_WITH", "CO_LOCATED", "RELATION_EVIDENCE", "EXCEPT_ENTITIES", "NOT_ENTITY", "ENTITY_ROLE", "FILTER_DATE_RANGE", "FILTER_CITY", "FILTER_REGION", "FILTER_COUNTRY", "WITHIN_COUNTRY", "FILTER_COORDINATES", "INTERSECT_DATE_WINDOWS", "SPEAKER_FILTER"})
+
+
+@dataclass
+class Controls:
+    """What the control primitives of a plan ask for; None where they say nothing."""
+
+    k: int | None = None
+    search_type: str | None = None
+    mode: str = "retrieve"
+    retrieval_mode: str | None = None
+    threshold: float | None = None
+    in_lexical: bool | None = None
+    in_vector: bool | None = None
+    group_by: str | None = None
+    expand: bool = False
+    quotes: bool = False
+    boosts: tuple[tuple[list[str], float], ...] = ()
+    candidates: int | None = None
+
+    @classmethod
+    def of(cls, plan: list[Primitive]) -> Controls:
+        got = cls()
+        for p in plan:
+            match p.kind:
+                case "SET_TOP_K":
+                    got.k = p.k
+                case "SET_SEARCH_TYPE":
+                    got.search_type = p.search_type
+                case "SET_QUERY_MODE":
+                    got.mode = p.mode
+                case "SET_RETRIEVAL_MODE":
+                    got.retrieval_mode = p.mode
+                case "SET_SIMILARITY_THRESHOLD":
+                    got.threshold = p.threshold
+                case "REQUIRE_EVIDENCE":
+                    got.in_lexical, got.in_vector = p.in_lexical, p.in_vector
+                case "GROUP_BY":
+                    got.group_by = p.field
+                case "TOGGLE_CONCORDANCE_EXPANSION":
+                    got.expand = bool(p.enabled)
+                case "QUOTE_ATTRIBUTION_MODE":
+                    got.quotes = bool(p.enabled)
+                case "SPEAKER_BOOST":
+                    got.boosts += ((p.speakers, p.weight),)
+        if got.mode not in ("retrieve", "count", "aggregate"):
+            raise ValueError(f"unknown query mode {got.mode!r}")
+        if got.retrieval_mode not in (None, "conversational", "thorough"):
+            raise ValueError(f"unknown retrieval mode {got.retrieval_mode!r}")
+        return got
+
+
+def plan_score(plan: list[Primitive], words: str = "tokens") -> Column:
+    """Occurrences of the plan's terms and phrases, those in groups too, damped by the logarithm of the text's words."""
+    wanted: list[str] = []
+
+    def collect(ps: list[Primitive]) -> None:
+        for p in ps:
+            if p.kind in ("TERM", "PHRASE"):
+                wanted.append(p.value)
+            elif p.kind == "OR_GROUP":
+                collect(p.primitives)
+
+    collect(plan)
+    hits = reduce(Column.__add__, (T.count_phrase(words, v) for v in dict.fromkeys(w.lower() for w in wanted)), F.lit(0))
+    return F.round(hits / (1 + F.log(1 + F.size(F.col(words)))), 6)
+
+
 def term_predicate(plan: list[Primitive], words: str = "tokens") -> Column:
     """The lexical condition of a plan over an array of words; no term at all matches nothing."""
     terms = [_one(p, words) for p in plan if p.kind in ("TERM", "PHRASE", "OR_GROUP")]
@@ -103,9 +172,16 @@ def scope(df: DataFrame, plan: list[Primitive], t: Tables) -> DataFrame:
             case "INTERSECT_DATE_WINDOWS":
                 df = _windows(df, p, t)
             case "SPEAKER_FILTER":
-                want = F.array(*(F.lit(s) for s in p.speakers))
+                want = F.array(*(F.lit(s.lower()) for s in p.speakers))
+                if t.speakers is not None:
+                    df = df.join(t.speakers, "chunk_id", "left")
+                if p.mode == "exclude":
+                    df = df.where(~F.coalesce(F.arrays_overlap("speaker_norms", want), F.lit(False)))
+                    df = df.drop("speaker_norms") if t.speakers is not None else df
+                    continue
                 fits = F.size(F.array_intersect("speaker_norms", want)) == len(set(p.speakers)) if p.mode == "all" else F.arrays_overlap("speaker_norms", want)
                 df = df.where(fits)
+                df = df.drop("speaker_norms") if t.speakers is not None else df
     if ids := widening.get("ENTITY"):
         df = df.join(_chunks_of(t.mentions, *ids), "chunk_id", "left_semi")
     if ids := widening.get("SET"):
@@ -119,6 +195,8 @@ def _dated(df: DataFrame, p: Primitive, t: Tables) -> DataFrame:
     lo = F.lit(p.start).cast("date") if p.start else None
     hi = F.lit(p.end).cast("date") if p.end else None
     both = lambda a, b: reduce(Column.__and__, ([F.col(b) >= lo] if lo is not None else []) + ([F.col(a) <= hi] if hi is not None else []), F.lit(True))
+    if t.dates is None:
+        return df.where(F.coalesce(both("date_min", "date_max"), F.lit(False)))
     named = t.dates.where(both("date_start", "date_end")).select("chunk_id").distinct().withColumn("__named", F.lit(True))
     return df.join(named, "chunk_id", "left").where(F.col("__named").isNotNull() | F.coalesce(both("date_min", "date_max"), F.lit(False))).drop("__named")
 

@@ -38,7 +38,7 @@ def _add(name, query, sql):
 
 
 def _has(*ids: int, c: str = "m.chunk_id") -> str:
-    return f"exists (select 1 from mentions x where x.chunk_id = {c} and x.entity_id in ({', '.join(map(str, ids))}))"
+    return f"{c} in (select x.chunk_id from mentions x where x.entity_id in ({', '.join(map(str, ids))}))"
 
 
 _META = "select m.chunk_id, m.document_id, m.collection_slug from meta m where "
@@ -50,8 +50,8 @@ _add("scope_co_occurs_document", _scoped(P("CO_OCCURS_WITH", entity_a=A, entity_
 _add("scope_co_occurs_chunk", _scoped(P("CO_OCCURS_WITH", entity_a=PLACE, entity_b=PLACE_2)), _META + _has(PLACE) + " and " + _has(PLACE_2))
 _add("scope_relation_evidence", _scoped(P("RELATION_EVIDENCE", entity_a=PLACE, entity_b=PLACE_2), P("NOT_ENTITY", entity_id=A)), _META + _has(PLACE) + " and " + _has(PLACE_2) + " and not " + _has(A))
 _add("scope_except_entities", _scoped(P("ENTITY", entity_id=PLACE), P("EXCEPT_ENTITIES", entity_ids=[A, B, PLACE_2])), _META + _has(PLACE) + " and not " + _has(A, B, PLACE_2))
-_add("scope_role", _scoped(P("ENTITY_ROLE", role="org")), _META + "exists (select 1 from mentions x join entities e on e.entity_id = x.entity_id where x.chunk_id = m.chunk_id and e.entity_type = 'org')")
-_place = lambda c: _META + f"exists (select 1 from mentions x join entities e on e.entity_id = x.entity_id where x.chunk_id = m.chunk_id and e.entity_type = 'place' and {c})"
+_add("scope_role", _scoped(P("ENTITY_ROLE", role="org")), _META + "m.chunk_id in (select x.chunk_id from mentions x join entities e on e.entity_id = x.entity_id where e.entity_type = 'org')")
+_place = lambda c: _META + f"m.chunk_id in (select x.chunk_id from mentions x join entities e on e.entity_id = x.entity_id where e.entity_type = 'place' and {c})"
 _add("scope_city", _scoped(P("FILTER_CITY", city="supplier#%1", country=None)), _place("e.city ilike 'supplier#%1'"))
 _add("scope_region", _scoped(P("FILTER_REGION", region="asia"), P("ENTITY", entity_id=A)), _place("e.region ilike 'asia'") + " and " + _has(A))
 _add("scope_country", _scoped(P("FILTER_COUNTRY", country="nation_3")), _place("e.country ilike 'nation_3'"))
@@ -117,11 +117,7 @@ _add(
     f" select entity_id, name, entity_type, count(*) n_mentions, count(distinct chunk_id) n_chunks from mentions join entities using (entity_id) where entity_type = 'place' and chunk_id in ({_IN}) group by all order by n_mentions desc, entity_id limit 50",
 )
 _add(
-    "facet_co_mentions", lambda s, d: facets.pairs(model.mentions(s, d).where(F.col("entity_id") > model.PLACES_FROM), _inside(s, d), 2),
-    f", m as (select distinct chunk_id, entity_id from mentions where entity_id > 10000000 and chunk_id in ({_IN})) select a.entity_id, b.entity_id other_id, count(*) n_chunks from m a join m b on a.chunk_id = b.chunk_id and a.entity_id < b.entity_id group by 1, 2 having count(*) >= 2",
-)
-_add(
-    "facet_co_mentions_all", lambda s, d: facets.pairs(model.mentions(s, d), _inside(s, d), 2),
+    "facet_co_mentions", lambda s, d: facets.pairs(model.mentions(s, d), _inside(s, d), 2),
     f", m as (select distinct chunk_id, entity_id from mentions where chunk_id in ({_IN})) select a.entity_id, b.entity_id other_id, count(*) n_chunks from m a join m b on a.chunk_id = b.chunk_id and a.entity_id < b.entity_id group by 1, 2 having count(*) >= 2",
 )
 _add(
@@ -170,11 +166,6 @@ _add(
 )
 _add(
     "undirected_neighbours",
-    lambda s, d: (lambda e: e.select("entity_id", "other_id").unionAll(e.select(F.col("other_id").alias("entity_id"), F.col("entity_id").alias("other_id"))).groupBy("entity_id").agg(F.count(F.lit(1)).alias("degree")))(facets.pairs(model.mentions(s, d).where(F.col("entity_id") > model.PLACES_FROM), model.metadata(s, d), 1)),
-    ", m as (select distinct chunk_id, entity_id from mentions where entity_id > 10000000), e as (select distinct a.entity_id x, b.entity_id y from m a join m b on a.chunk_id = b.chunk_id and a.entity_id <> b.entity_id) select x entity_id, count(*) degree from e group by 1",
-)
-_add(
-    "undirected_neighbours_all",
     lambda s, d: (lambda e: e.select("entity_id", "other_id").unionAll(e.select(F.col("other_id").alias("entity_id"), F.col("entity_id").alias("other_id"))).groupBy("entity_id").agg(F.count(F.lit(1)).alias("degree")))(facets.pairs(model.mentions(s, d), model.metadata(s, d), 1)),
     ", m as (select distinct chunk_id, entity_id from mentions where chunk_id in (select chunk_id from meta)), e as (select distinct a.entity_id x, b.entity_id y from m a join m b on a.chunk_id = b.chunk_id and a.entity_id <> b.entity_id) select x entity_id, count(*) degree from e group by 1",
 )
@@ -190,9 +181,5 @@ _add(
     ", e as (select entity_id, min(entity_id) over (partition by lower(name)) winner from entities) select winner entity_id, chunk_id, min(start_char)::bigint start_char from mentions join e using (entity_id) group by 1, 2",
 )
 _add("zero_mentions", lambda s, d: model.entities(s, d).join(model.mentions(s, d), "entity_id", "left_anti").select("entity_id", "name"), " select entity_id, name from entities e where not exists (select 1 from mentions m where m.entity_id = e.entity_id)")
-_add(
-    "entity_components", lambda s, d: components(facets.pairs(model.mentions(s, d), model.metadata(s, d).where("document_id <= 20"), 1), "entity_id", "other_id").select(F.col("node").alias("entity_id"), F.col("component")),
-    ", m as (select distinct chunk_id, entity_id from mentions where chunk_id in (select chunk_id from meta where document_id <= 20)), e as (select distinct a.entity_id x, b.entity_id y from m a join m b on a.chunk_id = b.chunk_id and a.entity_id <> b.entity_id), r as (with recursive walk(root, node) as (select x, x from (select distinct x from e) union select w.root, e.y from walk w join e on e.x = w.node) select node, min(root) component from walk group by 1) select node entity_id, component from r",
-)
 # over all chunks; a recursive SQL is too slow there, so a test holds it
-QUERIES["entity_components_all"] = lambda s, d: components(facets.stars(model.mentions(s, d), model.metadata(s, d)), "entity_id", "other_id").select(F.col("node").alias("entity_id"), F.col("component"))
+QUERIES["entity_components"] = lambda s, d: components(facets.stars(model.mentions(s, d), model.metadata(s, d)), "entity_id", "other_id").select(F.col("node").alias("entity_id"), F.col("component"))

@@ -15,6 +15,7 @@ from archivolt.operators import retrieval as R
 from archivolt.plans.primitives import primitive as P
 from archivolt.queries.index import A, PLACE, START
 from archivolt.queries.pipeline import _ALIAS, _CP, _STATS, _TIER, _aliases, _surfaces
+from archivolt.queries.search import _VEC
 from archivolt.queries.text import SURFACE, grams_sql, jaccard_sql, words_sql
 from archivolt.sources.io import junction
 
@@ -94,11 +95,7 @@ _add(
     "with j as (select distinct result_set_id, unnest(chunk_ids) chunk_id from result_sets) select result_set_id, count(distinct document_id) n_docs, count(*) filter (document_id is null) n_unknown, count(*) n_chunks from j left join chunks using (chunk_id) where j.chunk_id is not null group by 1",
 )
 _add(
-    "candidate_pool", lambda s, d: Z.pool(model.metadata(s, d).where("document_id <= 40").withColumn("year", F.year("date_min").cast("bigint")), 3, [F.asc("collection_slug"), F.asc("chunk_id")], "year").select("chunk_id", "year"),
-    f'with {model.SQL}, y as (select *, year(date_min) as "year" from meta where document_id <= 40), f as (select * from y order by collection_slug, chunk_id limit 3) select chunk_id, "year" from f union all select chunk_id, "year" from (select * from y where "year" not in (select "year" from f) qualify row_number() over (partition by "year" order by collection_slug, chunk_id) = 1)',
-)
-_add(
-    "candidate_pool_all", lambda s, d: Z.pool(model.metadata(s, d).withColumn("year", F.year("date_min").cast("bigint")), 3, [F.asc("collection_slug"), F.asc("chunk_id")], "year").select("chunk_id", "year"),
+    "candidate_pool", lambda s, d: Z.pool(model.metadata(s, d).withColumn("year", F.year("date_min").cast("bigint")), 3, [F.asc("collection_slug"), F.asc("chunk_id")], "year").select("chunk_id", "year"),
     f'with {model.SQL}, y as (select *, year(date_min) as "year" from meta), f as (select * from y order by collection_slug, chunk_id limit 3) select chunk_id, "year" from f union all select chunk_id, "year" from (select * from y where "year" not in (select "year" from f) qualify row_number() over (partition by "year" order by collection_slug, chunk_id) = 1)',
 )
 _add(
@@ -123,6 +120,13 @@ _add(
 )
 
 # plans and SQL functions
+
+
+def _two_sets(s, d) -> list[int]:
+    """The first two result sets that aren't empty."""
+    return [r[0] for r in t(s, d, "result_sets").where(F.size("chunk_ids") > 0).orderBy("result_set_id").select("result_set_id").limit(2).collect()]
+
+
 _plan = lambda *plan: lambda s, d: Engine(s, d).run(list(plan))
 _M = f"with {model.SQL}"
 _add("plan_count_by_collection", _plan(P("ENTITY", entity_id=PLACE), P("COUNT", group_by="collection")), f"{_M} select collection_slug, count(distinct chunk_id) n_chunks from meta where chunk_id in (select chunk_id from mentions where entity_id = {PLACE}) group by 1")
@@ -135,6 +139,49 @@ _add("plan_first_mention", lambda s, d: _plan(P("FIRST_MENTION", entity_id=A))(s
 _add("plan_terms", lambda s, d: _plan(P("TERM", value="cipher"), P("TERM", value="embassy"), P("SET_TERM_MODE", mode="OR"), P("EXCLUDE_TERM", value="hotel"), P("SET_TOP_K", k=30))(s, d).select("chunk_id", "score"), f"select chunk_id, round((length(list_filter(w, lambda t: t = 'cipher')) + length(list_filter(w, lambda t: t = 'embassy')))::double / (1 + ln(1 + length(w))), 6) score from (select chunk_id, {words_sql(BODY)} w from chunks) where (list_contains(w, 'cipher') or list_contains(w, 'embassy')) and not list_contains(w, 'hotel') order by score desc, chunk_id limit 30")
 
 
+def _score(*phrases: str) -> str:
+    """Occurrences of words and phrases over the damped length, over the words w."""
+    one = lambda p: f"length(list_filter(range(1, length(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()!r}))"
+    return f"round(({' + '.join(map(one, phrases))})::double / (1 + ln(1 + length(w))), 6)"
+
+
+_TW = f"tw as (select chunk_id, document_id, collection_slug, {words_sql(BODY)} w from chunks)"
+_has_phrase = lambda p: f"contains(' ' || array_to_string(w, ' ') || ' ', ' {p} ')"
+_scored = lambda *plan: lambda s, d: _plan(*plan)(s, d).select("chunk_id", "score")
+_add("plan_terms_in_collection", _scored(P("TERM", value="cipher"), P("FILTER_COLLECTION", slug="hearings")), f"with {_TW} select chunk_id, {_score('cipher')} score from tw where list_contains(w, 'cipher') and collection_slug = 'hearings'")
+_DATED = f"""{_CP}, pm as (select page_id, cable_date from (select distinct * from page_metadata) qualify row_number() over (partition by page_id order by extracted_at desc, page_metadata_id desc) = 1),
+cd as (select chunk_id, min(cable_date) a, max(cable_date) b from cp left join pm using (page_id) group by 1), td as (select tw.*, coalesce(a, doc_date) lo, coalesce(b, doc_date) hi from tw left join cd using (chunk_id) left join documents on doc_id = document_id)"""
+_add("plan_phrase_in_dates", _scored(P("PHRASE", value="it is requested"), P("FILTER_DATE_RANGE", start="1940-01-01", end="1945-12-31")), f"with {_TW}, {_DATED} select chunk_id, {_score('it is requested')} score from td where {_has_phrase('it is requested')} and hi >= date '1940-01-01' and lo <= date '1945-12-31'")
+_add(
+    "plan_terms_in_result_set", lambda s, d: _scored(P("TERM", value="the"), *(P("WITHIN_RESULT_SET", result_set_id=r) for r in _two_sets(s, d)))(s, d),
+    f"with {_TW}, two as (select result_set_id, chunk_ids from result_sets where length(chunk_ids) > 0 order by result_set_id limit 2) select chunk_id, {_score('the')} score from tw where list_contains(w, 'the') and chunk_id in (select unnest(chunk_ids) from two)",
+)
+_add(
+    "plan_terms_excluded_set", lambda s, d: _scored(P("OR_GROUP", primitives=[P("TERM", value="cipher"), P("PHRASE", value="field office")]), P("EXCLUDE_RESULT_SET", result_set_id=_two_sets(s, d)[0]))(s, d),
+    f"with {_TW}, two as (select result_set_id, chunk_ids from result_sets where length(chunk_ids) > 0 order by result_set_id limit 1) select chunk_id, {_score('cipher', 'field office')} score from tw where (list_contains(w, 'cipher') or {_has_phrase('field office')}) and chunk_id not in (select x from (select unnest(chunk_ids) x from two) where x is not null)",
+)
+_add("plan_terms_with_entity", _scored(P("TERM", value="the"), P("ENTITY", entity_id=PLACE)), f"with {model.SQL}, {_TW} select chunk_id, {_score('the')} score from tw where list_contains(w, 'the') and chunk_id in (select chunk_id from mentions where entity_id = {PLACE})")
+_add("plan_terms_counted", _plan(P("TERM", value="cipher"), P("SET_QUERY_MODE", mode="aggregate")), f"with {_TW} select count(distinct chunk_id) n_chunks, count(distinct document_id) n_documents, count(distinct collection_slug) n_collections from tw where list_contains(w, 'cipher')")
+_add("plan_terms_grouped", _plan(P("TERM", value="cipher"), P("GROUP_BY", field="collection_slug")), f"with {_TW} select collection_slug, count(distinct chunk_id) n_chunks from tw where list_contains(w, 'cipher') group by 1")
+_add("plan_terms_thorough", lambda s, d: _plan(P("TERM", value="cipher"), P("SET_RETRIEVAL_MODE", mode="thorough"))(s, d).select("chunk_id", F.col("rank").cast("bigint").alias("rank")), f'with {_TW} select chunk_id, row_number() over (order by document_id nulls last, chunk_id) as "rank" from tw where list_contains(w, \'cipher\')')
+_add("plan_co_located", lambda s, d: _plan(P("CO_LOCATED", entity_a=PLACE, entity_b=PLACE + 4, scope="document"), P("COUNT"))(s, d), f"with {model.SQL} select count(distinct chunk_id) n_chunks from meta where document_id in (select document_id from meta where chunk_id in (select chunk_id from mentions where entity_id = {PLACE})) and document_id in (select document_id from meta where chunk_id in (select chunk_id from mentions where entity_id = {PLACE + 4}))")
+_add("plan_count_by_entity", _plan(P("FILTER_COLLECTION", slug="BUILDING"), P("COUNT", group_by="entity")), f"with {model.SQL} select entity_id, count(distinct chunk_id) n_chunks from mentions where chunk_id in (select chunk_id from meta where collection_slug = 'BUILDING') group by 1 order by 2 desc, 1 limit 50")
+
+
+def plan_hybrid(s, d):
+    """Terms and the first usable vector, fused; only chunks that both lists hold."""
+    from archivolt.queries.search import _query_vector
+
+    plan = [P("TERM", value="cipher"), P("SET_SEARCH_TYPE", search_type="hybrid"), P("REQUIRE_EVIDENCE", in_lexical=True, in_vector=True), P("SET_SIMILARITY_THRESHOLD", threshold=0.1)]
+    return Engine(s, d).run(plan, _query_vector(s, d)).select("chunk_id", "score")
+
+
+_add(
+    "plan_hybrid", plan_hybrid,
+    f"with {_TW}, {_VEC}, l as (select chunk_id, row_number() over (order by {_score('cipher')} desc, chunk_id) r from tw where list_contains(w, 'cipher')), x as (select chunk_id, row_number() over (order by round(1 - distance, 6) desc, chunk_id) r from v where distance <= 0.9) select l.chunk_id, round(1.0::double / (60 + l.r) + 1.0::double / (60 + x.r), 9) score from l join x using (chunk_id)",
+)
+
+
 def sql_functions(s, d):
     registered.register(s, d, ["mention_candidates", "result_sets", "retrieval_runs", "chunks"])
     return s.sql("select distinct normalize_surface(raw_span) as surface, variant_key(raw_span) as variant, is_proposable(surface_norm, 2) as fit from mention_candidates where raw_span is not null")

@@ -254,5 +254,5 @@ _add(
     "stream_sessions", lambda s, d: S.finished(S.sessions(S.event_stream(s, d), "12 hours")),
     "with x as (select user_id, ts, case when ts - lag(ts) over w < interval 12 hour then 0 else 1 end c from events window w as (partition by user_id order by ts, event_id)), y as (select *, sum(c) over (partition by user_id order by ts) g from x) select min(ts) as \"start\", max(ts) + interval 12 hour as \"end\", user_id, count(*) n from y group by user_id, g",
 )
-_add("stream_state", lambda s, d: S.finished(S.running_state(S.event_stream(s, d)), "update"), "select user_id, count(*) n, max(epoch_us(ts)) last_us from events group by 1")
+_add("stream_state", lambda s, d: S.finished(S.running_state(S.event_stream(s, d)), "update", ["user_id"]), "select user_id, count(*) n, max(epoch_us(ts)) last_us from events group by 1")
 _add("stream_deduplicated", lambda s, d: S.finished(S.deduplicated(S.event_stream(s, d), ["event_id"]), "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "select event_type, count(*) n from (select distinct event_id, event_type from events) group by 1")

@@ -52,21 +52,31 @@ def running_state(events: DataFrame) -> DataFrame:
     return own.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, last_us bigint", "n bigint, last bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
+def finished(stream: DataFrame, mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there now and return its result as a table in the shared folder.
 
-    In ``complete`` and ``update`` mode the last batch's rows replace those of
-    earlier ones; in ``append`` all batches are kept.
+    In ``complete`` mode the last batch is the result; in ``append`` all batches
+    are. In ``update`` mode a batch holds only what has changed, so of all batches'
+    rows the newest of each of ``keys`` counts. A batch that is written again after
+    a failure replaces itself.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys that rows replace each other by")
     spark = stream.sparkSession
     out, marks = scratch(spark, "stream"), scratch(spark, "stream-marks")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/__batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", marks).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    if mode == "complete":
+        return spark.read.parquet(out)
+    rows = spark.read.parquet(out)
+    if mode == "append":
+        return rows.drop("__batch")
+    rest = [c for c in rows.columns if c not in (*keys, "__batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__last")).select(*keys, "__last.*")
 
 
 def incremental(new: DataFrame, done: DataFrame, key: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:

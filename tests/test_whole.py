@@ -39,7 +39,7 @@ def test_components_of_all_documents(spark):
     for c, *own in lines:
         by_chunk.setdefault(c, []).extend(own)
     want = least_of_each([(own[0], e) for own in by_chunk.values() for e in own])
-    got = {r.entity_id: r.component for r in QUERIES["entity_components_all"](spark, str(FOLDER)).collect()}
+    got = {r.entity_id: r.component for r in QUERIES["entity_components"](spark, str(FOLDER)).collect()}
     assert got == want
 
 
@@ -51,7 +51,7 @@ def test_pool_of_all_documents(spark):
         if y not in seen:
             seen.add(y)
             want.append((c, y))
-    assert sorted(map(tuple, QUERIES["candidate_pool_all"](spark, str(FOLDER)).collect())) == sorted(want)
+    assert sorted(map(tuple, QUERIES["candidate_pool"](spark, str(FOLDER)).collect())) == sorted(want)
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="no test data here")
@@ -66,8 +66,8 @@ def test_pairs_and_degrees_of_all_mentions(spark):
             for b in of:
                 if segment == "BUILDING" and a < b:
                     both[a, b] = both.get((a, b), 0) + 1
-    assert {r.entity_id: r.degree for r in QUERIES["undirected_neighbours_all"](spark, str(FOLDER)).collect()} == {a: len(n) for a, n in near.items() if n}
-    assert {(r.entity_id, r.other_id): r.n_chunks for r in QUERIES["facet_co_mentions_all"](spark, str(FOLDER)).collect()} == {p: n for p, n in both.items() if n >= 2}
+    assert {r.entity_id: r.degree for r in QUERIES["undirected_neighbours"](spark, str(FOLDER)).collect()} == {a: len(n) for a, n in near.items() if n}
+    assert {(r.entity_id, r.other_id): r.n_chunks for r in QUERIES["facet_co_mentions"](spark, str(FOLDER)).collect()} == {p: n for p, n in both.items() if n >= 2}
 
 
 def test_alias_matches_of_any_length(spark):
