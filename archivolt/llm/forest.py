@@ -11,6 +11,7 @@ All vectors of a batch take their steps together, so the queue is an array.
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,16 @@ class Forest:
     def leaves(self) -> int:
         return int(self.leaf.max()) + 1
 
+    def dumps(self) -> bytes:
+        held = io.BytesIO()
+        np.savez(held, roots=self.roots, normals=self.normals, offsets=self.offsets, children=self.children, leaf=self.leaf)
+        return held.getvalue()
+
+    @classmethod
+    def loads(cls, data: bytes) -> Forest:
+        with np.load(io.BytesIO(data)) as held:
+            return cls(**held)
+
     def search(self, x: np.ndarray, leaves: int) -> np.ndarray:
         """Numbers of the ``leaves`` best leaves for each row of x, -1 where the forest has fewer."""
         n, t = len(x), len(self.roots)

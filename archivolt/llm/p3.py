@@ -22,4 +22,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours}
-SQL: dict[str, str] = {}
+_SQL = """
+with v as (select chunk_id, embedding::double[] e from chunks where length(embedding) = 64 and length(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and length(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select a.chunk_id a, b.chunk_id b, round(list_cosine_similarity(a.e, b.e), 6) c from v a join v b on a.chunk_id <> b.chunk_id),
+n as (select a, b from s qualify row_number() over (partition by a order by c desc, b) <= 10 and c >= 0.92)
+"""
+#: Brute force over all pairs, for small scales.
+SQL = {"p3_found": _SQL + "select distinct least(a, b) chunk_id_a, greatest(a, b) chunk_id_b from n"}
