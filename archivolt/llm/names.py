@@ -19,12 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from archivolt.llm import name_terms as terms
+from archivolt.llm.readings import DIGITS, PAIRS
 from archivolt.llm.trie_join import near_strings, transposed
 from archivolt.operators.graph import components
 from archivolt.shared import cut
 
-#: Digits read for letters; fixed values.
-DIGITS = str.maketrans({"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "6": "b", "8": "b", "9": "g"})
 #: Endings of one sound in transcriptions; fixed values.
 ENDINGS = ((regex.compile(r"o+(?:ff|v|w)$"), "ov"), (regex.compile(r"e+(?:ff|v|w)$"), "ev"), (regex.compile(r"i+(?:ff|v|w)$"), "iv"), (regex.compile(r"(?<=[nr])(?:ts|tz|z|cz|cs|c)$"), "ts"), (regex.compile(r"(?:ij|yi|iy|y|ii)$"), "i"))
 LETTERS = (("ph", "f"), ("w", "v"), ("sch", "sh"), ("y", "i"))
@@ -49,10 +48,6 @@ def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
     return _forms(terms.GIVEN), _forms(terms.KINDS), _forms(terms.ACTIVITIES)
 
 
-#: Two letters read for one; fixed values.
-PAIRS = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("ri", "n"))
-
-
 @lru_cache(maxsize=200_000)
 def _look_up(word: str, which: int) -> tuple[str, int] | None:
     """The canonical form a word stands for and its edits: one in words of four letters, two in words of eight."""

@@ -4,11 +4,21 @@ A text is the sequence of its words as a scan would read them at worst:
 line breaks, hyphens, marks and furniture are gone, and letters that scanning
 confuses are one letter. Two texts are versions of each other if the words
 they share, counted with repeats, are at least ``share`` of the longer one.
-With n-grams of n words at most n of them go with a changed word, so such texts
-share at least 1 - n (1 - share) of their n-grams. The n-grams are put in order
-of frequency, the rare first; texts meet in the rare part only, have to meet
-several times there, and pass filters on length, position and suffix before
-the words of a pair are compared, once.
+
+A text of m words has at most m (1 - share) words that the other lacks; each of
+them breaks at most n of its n-grams, and each seam (a place where words were
+put in, left out or moved) at most n - 1. What is left of its distinct n-grams
+is what two versions must share; it is worked out for each text from its own
+number of n-grams, with a stated number of seams (``seams_of``). The n-grams are
+put in order of frequency, the rare first; texts meet in the rare part only,
+have to meet several times there, and pass filters on length, position and
+suffix before the words of a pair are compared, once.
+
+Texts for which the bound is nothing, such as short or very repetitive ones, are
+joined on their words in the same way with all texts of like length, which needs
+no bound on seams. So every pair of versions is found that has no more than the
+stated seams, however its words are replaced, and every pair at all that has
+such a text.
 """
 
 from __future__ import annotations
@@ -17,11 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archivolt.llm.readings import LOOKS, PAIRS
 from archivolt.llm.scans import page_furniture
 from archivolt.operators.graph import components
 from archivolt.shared import cut, spread
@@ -29,12 +41,13 @@ from archivolt.shared import cut, spread
 SHARE = 0.8
 GRAM = 4
 #: Meetings in the rare part asked for, as a share of the n-grams that have to agree.
-EXTRA = 0.1
+EXTRA = 0.2
 LEAST_CHARS = 300
+#: Seams allowed in any text, and words of a text for each one more.
+SEAMS, WORDS_A_SEAM = 2, 100
+#: Texts with one n-gram that one task joins with the others.
+HOT = 2000
 
-#: What scanning confuses: pairs of letters read as one, and letters of one look; fixed values.
-PAIRS = (("rn", "m"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("ri", "n"))
-LOOKS = str.maketrans({"c": "e", "f": "t", "1": "l", "i": "l", "!": "l", "0": "o", "5": "s", "6": "b", "h": "b", "y": "v", "9": "g", "@": "a"})
 BROKEN = regex.compile(r"[-‐‑–—­¬][^\S\n]*\n\s*")
 MARK = regex.compile(r"[^\p{L}\p{N}\s!@]+")
 
@@ -81,29 +94,92 @@ def classes_of(texts: DataFrame) -> DataFrame:
     return hashed.join(hashed.groupBy("h", "g").agg(F.min("key").alias("class")), ["h", "g"]).select("key", "class").distinct()
 
 
-def candidates(texts: DataFrame, share: float, gram: int, extra: float) -> DataFrame:
-    """a, b: pairs of keys that may be versions; no pair that is one is missing (see the module)."""
-    tau = max(0.0, 1 - gram * (1 - share))
-    places = F.sequence(F.lit(0), F.greatest(F.size("words") - gram, F.lit(0)))
-    grams = F.array_distinct(F.transform(places, lambda i: F.xxhash64(*(F.try_element_at("words", i + k + 1) for k in range(gram)))))
-    held = texts.select("key", F.size("words").alias("n"), grams.alias("grams")).withColumn("size", F.size("grams"))
-    rows = held.select("key", F.explode("grams").alias("gram"))
-    often = rows.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
-    # n-grams of one text alone come first and meet nothing; only their number matters
-    listed = rows.join(often, "gram").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("list"))
-    ordered = listed.join(held.select("key", "n", "size"), "key")
-    need = F.ceil(F.lit(tau) * F.col("size"))
-    meet = F.greatest(F.lit(1), F.floor(F.lit(extra) * need)).cast("int")
+def seams_of(n):
+    """Seams allowed in a text of n words."""
+    return SEAMS + n // WORDS_A_SEAM
+
+
+def _hashed(parts: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(parts[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h.astype(np.int64)
+
+
+def n_grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the distinct n-grams of a text's words."""
+    if len(words) < n:
+        return np.zeros(0, np.int64)
+    return np.unique(_hashed([words[k : len(words) - n + 1 + k] for k in range(n)]))
+
+
+def numbered_words(words: np.ndarray) -> np.ndarray:
+    """Hashes of the words, the second occurrence of a word another one than the first."""
+    own = np.sort(words)
+    new = np.r_[True, own[1:] != own[:-1]]
+    at = np.arange(len(own))
+    return _hashed([own, at - np.maximum.accumulate(np.where(new, at, 0))])
+
+
+def tokens_of(texts: DataFrame, share: float, gram: int) -> DataFrame:
+    """key, n (words), size, need and tokens of every text: with ``gram`` its distinct n-grams, with 0 its words.
+
+    ``need`` is how many tokens it shares at least with any version; at 0 or
+    less the n-grams tell nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            n = np.diff(ends)
+            each = [(n_grams(w, gram) if gram else numbered_words(w)) for w in (values[a:b] for a, b in zip(ends[:-1], ends[1:]))]
+            size = np.array([len(e) for e in each], np.int64)
+            need = size - gram * np.floor(n * (1 - share) + 1e-9) - (gram - 1) * seams_of(n) if gram else np.ceil(n * share - 1e-9)
+            tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(np.concatenate([*each, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(x.astype(np.int32)) for x in (n, size, need)), tokens], names=["key", "n", "size", "need", "tokens"])
+
+    return texts.select("key", "words").mapInArrow(run, "key bigint, n int, size int, need int, tokens array<bigint>")
+
+
+def met(held: DataFrame, share: float, extra: float = EXTRA, hot: int = HOT) -> DataFrame:
+    """a, b: pairs of texts that share enough of their rarest tokens; no pair that shares what both need is missing."""
+    rows = held.select("key", F.explode("tokens").alias("token"))
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    # tokens of one text alone come first and meet nothing; only their number matters
+    listed = rows.join(often, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
+    ordered = listed.join(held.select("key", "n", "size", "need"), "key")
+    meet = F.greatest(F.lit(1), F.floor(F.lit(extra) * F.col("need"))).cast("int")
     single = F.col("size") - F.size("list")
-    rare = ordered.withColumn("meet", meet).withColumn("single", single).withColumn("end", F.col("size") - need + F.col("meet") - F.col("single"))
-    prefix = rare.where("end > 0").select("key", "n", "size", "meet", "single", F.posexplode(F.slice("list", F.lit(1), F.col("end").cast("int"))).alias("at", "one")).select("key", "n", "size", "meet", (F.col("at") + F.col("single")).alias("at"), F.col("one.gram").alias("gram"))
-    a, b = (prefix.select("gram", *(F.col(c).alias(c + s) for c in ("key", "n", "size", "meet", "at"))) for s in ("_a", "_b"))
-    longer = F.greatest("size_a", "size_b")
-    lengths = (F.least("n_a", "n_b") >= F.lit(share) * F.greatest("n_a", "n_b")) & (F.least("size_a", "size_b") >= F.lit(tau) * longer)
-    position = F.least("at_a", "at_b") + 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) - 1 >= F.lit(tau) * longer
-    met = a.join(b, "gram").where((F.col("key_a") < F.col("key_b")) & lengths & position)
-    counted = met.groupBy("key_a", "key_b", F.least("meet_a", "meet_b").alias("meet")).agg(F.count(F.lit(1)).alias("c"))
-    return counted.where("c >= meet").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    rare = ordered.withColumn("meet", meet).withColumn("single", single).withColumn("end", F.col("size") - F.col("need") + F.col("meet") - F.col("single"))
+    prefix = rare.where("end > 0").select("key", "n", "size", "need", "meet", "single", F.posexplode(F.slice("list", F.lit(1), F.col("end").cast("int"))).alias("at", "one"))
+    prefix = prefix.select("key", "n", "size", "need", "meet", (F.col("at") + F.col("single")).alias("at"), F.col("one.token").alias("token"), F.ceil(F.col("one.df") / hot).cast("int").alias("blocks"))
+    # the texts of a frequent token are dealt to blocks on one side and go to every block on the other
+    salts = (F.pmod(F.xxhash64("key", "token"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a, b = (prefix.select("token", salt.alias("salt"), *(F.col(c).alias(c + s) for c in ("key", "n", "size", "need", "meet", "at"))) for s, salt in zip(("_a", "_b"), salts))
+    needed = F.greatest("need_a", "need_b")
+    lengths = F.least("n_a", "n_b") >= F.lit(share - 1e-9) * F.greatest("n_a", "n_b")
+    position = F.least("at_a", "at_b") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= needed
+    together = a.join(b, ["token", "salt"]).where((F.col("key_a") < F.col("key_b")) & lengths & position)
+    counted = together.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.least("meet_a", "meet_b").alias("meet")).agg(F.count(F.lit(1)).alias("c"))
+    return counted.where("c >= meet").select("a", "b")
+
+
+def candidates(texts: DataFrame, share: float, gram: int, extra: float) -> DataFrame:
+    """a, b: pairs of keys that may be versions (see the module for which are found)."""
+    grams = tokens_of(texts, share, gram)
+    pairs = met(grams.where("need > 0"), share, extra)
+    weak = cut(grams.where("need <= 0").select("key", "n"))
+    if weak.isEmpty():
+        return pairs
+    near = weak.select(F.explode(F.sequence(F.ceil(F.lit(share) * F.col("n") - 1e-9).cast("int"), F.floor(F.col("n") / F.lit(share) + 1e-9).cast("int"))).alias("n")).distinct()
+    like = texts.withColumn("n", F.size("words")).join(near, "n", "left_semi").select("key", "words")
+    found = met(tokens_of(like, share, 0), share, 0.0)
+    told = weak.select("key")
+    with_weak = found.join(told.withColumnRenamed("key", "a"), "a", "left_semi").unionByName(found.join(told.withColumnRenamed("key", "b"), "b", "left_semi"))
+    return pairs.unionByName(with_weak).distinct()
 
 
 def _suffix(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> int:
@@ -128,7 +204,6 @@ def shared_words(x: np.ndarray, y: np.ndarray) -> int:
 
 def links(texts: DataFrame, share: float = SHARE, gram: int = GRAM, extra: float = EXTRA) -> DataFrame:
     """a, b, similarity of every two texts (key, words) that are versions of each other, a < b, each verified once."""
-    texts = cut(texts)
     pairs = candidates(texts, share, gram, extra)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +233,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, share: float = SHARE, gr
     if texts.groupBy("key").count().where("count > 1").limit(1).count():
         texts = cut(texts.groupBy("key").agg(F.min("words").alias("words")))
     member = cut(classes_of(texts))
-    reps = texts.join(member.where("key = class").select("key"), "key", "left_semi")
+    reps = cut(texts.join(member.where("key = class").select("key"), "key", "left_semi"))
     return member, cut(links(reps, share, gram))
 
 
