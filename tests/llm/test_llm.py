@@ -334,23 +334,6 @@ def test_quotation_is_told():
     assert s.score('The witness testified: "You are a moron."')["insult"][1] and not s.score("You are a moron.")["insult"][1]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text("abc*", min_size=1, max_size=6))
-def test_trie_walk_is_the_edit_distance(word):
-    own = ["abc", "abca", "cab", "bb", "a"]
-
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            new = [i + 1]
-            for j, y in enumerate(b):
-                new.append(min(row[j] + (x != y and x != "*"), row[j + 1] + 1, new[j] + 1))
-            row = new
-        return row[-1]
-
-    assert dict((w, d) for d, w in abuse.Trie(own).near(word, 1, False)) == {w: d for w in own if (d := plain(word, w)) <= 1}
-
-
 def test_scores_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "s", 9.0), (2, "", None, 9.0), (3, "word " * 20_000 + "you moron", "s", 9.0), (3, "you moron", "s", 9.0)], "doc_id long, text string, source string, score double")
     got = abuse.scores(df, "doc_id", "text", ("source",))
