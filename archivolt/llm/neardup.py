@@ -10,7 +10,8 @@ them breaks at most n of its n-grams, and each seam (a place where words were
 put in, left out or moved) at most n - 1. What is left of its distinct n-grams
 is what two versions must share; it is worked out for each text from its own
 number of n-grams, with a stated number of seams (``seams_of``). The n-grams are
-put in order of frequency, the rare first; texts meet in the rare part only,
+put in order of frequency, the rare first (any order finds every pair, this one
+soonest, so only the frequent ones need counts); texts meet in the rare part only,
 have to meet several times there, and pass filters on length, position and
 suffix before the words of a pair are compared, once.
 
@@ -41,7 +42,11 @@ from archivolt.shared import cut, spread
 SHARE = 0.8
 GRAM = 4
 #: Meetings in the rare part asked for, as a share of the n-grams that have to agree.
-EXTRA = 0.2
+EXTRA = 0.35
+#: N-grams that this share of the texts has are put in the order of their frequency, all others before them.
+KNOWN_SHARE = 1e-3
+#: Texts whose n-grams are counted together.
+BLOCK_TEXTS = 4096
 LEAST_CHARS = 300
 #: Seams allowed in any text, and words of a text for each one more.
 SEAMS, WORDS_A_SEAM = 2, 100
@@ -123,62 +128,122 @@ def numbered_words(words: np.ndarray) -> np.ndarray:
     return _hashed([own, at - np.maximum.accumulate(np.where(new, at, 0))])
 
 
-def tokens_of(texts: DataFrame, share: float, gram: int) -> DataFrame:
-    """key, n (words), size, need and tokens of every text: with ``gram`` its distinct n-grams, with 0 its words.
+def needed(n, size, share: float, gram: int):
+    """Tokens a text of n words and ``size`` tokens shares at least with any version; at 0 or less its n-grams tell nothing."""
+    if not gram:
+        return np.ceil(n * share - 1e-9)
+    return size - gram * np.floor(n * (1 - share) + 1e-9) - (gram - 1) * seams_of(n)
 
-    ``need`` is how many tokens it shares at least with any version; at 0 or
-    less the n-grams tell nothing.
+
+def _texts(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(key, words, tokens) of each text: with ``gram`` its distinct n-grams, with 0 its numbered words."""
+    for batch in batches:
+        lists = batch.column("words")
+        values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for key, a, b in zip(batch.column("key").to_pylist(), ends[:-1], ends[1:]):
+            yield key, int(b - a), n_grams(values[a:b], gram) if gram else numbered_words(values[a:b])
+
+
+def surveyed(texts: DataFrame, share: float, gram: int, known: float = KNOWN_SHARE) -> DataFrame:
+    """(what, id, n): ``frequent`` tokens with counts, and ``weak`` keys with their words, whose n-grams tell nothing.
+
+    Blocks of texts report the tokens that half the share ``known`` of the block
+    has. A token that the share of all texts has is therefore reported by blocks
+    with at least half of its texts, and what is kept has at least half the share:
+    at most 2 / known times the mean number of tokens of a text, at any size.
+    """
+    n = texts.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        weak: list[tuple[int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            often = c >= max(2, known / 2 * len(held))
+            what = ["frequent"] * int(often.sum()) + ["weak"] * len(weak)
+            ids = np.r_[u[often], np.array([k for k, _ in weak], np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(what), pa.array(ids, pa.int64()), pa.array(np.r_[c[often], np.array([w for _, w in weak], np.int64)], pa.int64())], names=["what", "id", "n"])
+
+        for key, words, tokens in _texts(batches, gram):
+            held.append(tokens)
+            if needed(words, len(tokens), share, gram) <= 0:
+                weak.append((key, words))
+            if len(held) == BLOCK_TEXTS:
+                yield flush()
+                held, weak = [], []
+        if held:
+            yield flush()
+
+    told = texts.select("key", "words").mapInArrow(run, "what string, id bigint, n bigint")
+    return cut(told.groupBy("what", "id").agg(F.sum("n").alias("n")).where((F.col("what") == "weak") | (F.col("n") >= known / 2 * n)))
+
+
+def met(texts: DataFrame, frequent: DataFrame, share: float, gram: int, extra: float = EXTRA, hot: int = HOT) -> DataFrame:
+    """a, b: pairs of texts that share enough of their rarest tokens; no pair that shares what both need is missing.
+
+    The order of rarity is that of the ``frequent`` tokens' counts (a bounded
+    table, see ``surveyed``), all others before them. Each text's rare part is
+    made where the text is, so its tokens are shuffled once, for the join.
     """
+    known = frequent.where("what = 'frequent'").orderBy("id").select("id", "n").toArrow()
+    table = texts.sparkSession.sparkContext.broadcast((known.column("id").to_numpy(), known.column("n").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("words")
-            values, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            n = np.diff(ends)
-            each = [(n_grams(w, gram) if gram else numbered_words(w)) for w in (values[a:b] for a, b in zip(ends[:-1], ends[1:]))]
-            size = np.array([len(e) for e in each], np.int64)
-            need = size - gram * np.floor(n * (1 - share) + 1e-9) - (gram - 1) * seams_of(n) if gram else np.ceil(n * share - 1e-9)
-            tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(np.concatenate([*each, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(x.astype(np.int32)) for x in (n, size, need)), tokens], names=["key", "n", "size", "need", "tokens"])
-
-    return texts.select("key", "words").mapInArrow(run, "key bigint, n int, size int, need int, tokens array<bigint>")
-
-
-def met(held: DataFrame, share: float, extra: float = EXTRA, hot: int = HOT) -> DataFrame:
-    """a, b: pairs of texts that share enough of their rarest tokens; no pair that shares what both need is missing."""
-    rows = held.select("key", F.explode("tokens").alias("token"))
-    often = rows.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
-    # tokens of one text alone come first and meet nothing; only their number matters
-    listed = rows.join(often, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
-    ordered = listed.join(held.select("key", "n", "size", "need"), "key")
-    meet = F.greatest(F.lit(1), F.floor(F.lit(extra) * F.col("need"))).cast("int")
-    single = F.col("size") - F.size("list")
-    rare = ordered.withColumn("meet", meet).withColumn("single", single).withColumn("end", F.col("size") - F.col("need") + F.col("meet") - F.col("single"))
-    prefix = rare.where("end > 0").select("key", "n", "size", "need", "meet", "single", F.posexplode(F.slice("list", F.lit(1), F.col("end").cast("int"))).alias("at", "one"))
-    prefix = prefix.select("key", "n", "size", "need", "meet", (F.col("at") + F.col("single")).alias("at"), F.col("one.token").alias("token"), F.ceil(F.col("one.df") / hot).cast("int").alias("blocks"))
+        ids, counts = table.value
+        rows: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["token", "key", "n", "size", "need", "at", "blocks"])
+
+        held = 0
+        for key, words, tokens in _texts(batches, gram):
+            size = len(tokens)
+            need = int(needed(words, size, share, gram))
+            if need <= 0:
+                continue
+            if len(ids):
+                place = np.minimum(np.searchsorted(ids, tokens), len(ids) - 1)
+                df = np.where(ids[place] == tokens, counts[place], 0)
+            else:
+                df = np.zeros(size, np.int64)
+            end = min(size, size - need + max(1, int(extra * need)))
+            first = np.lexsort((tokens, df))[:end]
+            rows.append((tokens[first], np.full(end, key, np.int64), *(np.full(end, x, np.int32) for x in (words, size, need)), np.arange(end, dtype=np.int32), (df[first] // hot + 1).astype(np.int32)))
+            held += end
+            if held > 200_000:
+                yield flush()
+                rows, held = [], 0
+        if rows:
+            yield flush()
+
+    prefix = texts.select("key", "words").mapInArrow(run, "token bigint, key bigint, n int, size int, need int, at int, blocks int")
     # the texts of a frequent token are dealt to blocks on one side and go to every block on the other
     salts = (F.pmod(F.xxhash64("key", "token"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    a, b = (prefix.select("token", salt.alias("salt"), *(F.col(c).alias(c + s) for c in ("key", "n", "size", "need", "meet", "at"))) for s, salt in zip(("_a", "_b"), salts))
-    needed = F.greatest("need_a", "need_b")
+    a, b = (prefix.select("token", salt.alias("salt"), *(F.col(c).alias(c + s) for c in ("key", "n", "size", "need", "at"))) for s, salt in zip(("_a", "_b"), salts))
+    both = F.greatest("need_a", "need_b")
     lengths = F.least("n_a", "n_b") >= F.lit(share - 1e-9) * F.greatest("n_a", "n_b")
-    position = F.least("at_a", "at_b") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= needed
+    position = F.least("at_a", "at_b") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= both
     together = a.join(b, ["token", "salt"]).where((F.col("key_a") < F.col("key_b")) & lengths & position)
-    counted = together.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.least("meet_a", "meet_b").alias("meet")).agg(F.count(F.lit(1)).alias("c"))
+    # what both need, less what may stand in the frequent parts, has to be met in the rare ones
+    beyond = lambda s: F.col(f"need_{s}") - F.greatest(F.lit(1), F.floor(F.lit(extra) * F.col(f"need_{s}")))
+    meet = F.greatest(F.lit(1), both - F.least(beyond("a"), beyond("b"))).cast("int")
+    counted = together.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"), meet.alias("meet")).agg(F.count(F.lit(1)).alias("c"))
     return counted.where("c >= meet").select("a", "b")
 
 
 def candidates(texts: DataFrame, share: float, gram: int, extra: float) -> DataFrame:
     """a, b: pairs of keys that may be versions (see the module for which are found)."""
-    grams = tokens_of(texts, share, gram)
-    pairs = met(grams.where("need > 0"), share, extra)
-    weak = cut(grams.where("need <= 0").select("key", "n"))
+    told = surveyed(texts, share, gram)
+    pairs = met(texts, told, share, gram, extra)
+    weak = told.where("what = 'weak'").select(F.col("id").alias("key"), "n")
     if weak.isEmpty():
         return pairs
     near = weak.select(F.explode(F.sequence(F.ceil(F.lit(share) * F.col("n") - 1e-9).cast("int"), F.floor(F.col("n") / F.lit(share) + 1e-9).cast("int"))).alias("n")).distinct()
-    like = texts.withColumn("n", F.size("words")).join(near, "n", "left_semi").select("key", "words")
-    found = met(tokens_of(like, share, 0), share, 0.0)
-    told = weak.select("key")
-    with_weak = found.join(told.withColumnRenamed("key", "a"), "a", "left_semi").unionByName(found.join(told.withColumnRenamed("key", "b"), "b", "left_semi"))
+    like = cut(texts.withColumn("n", F.size("words")).join(near, "n", "left_semi").select("key", "words"))
+    found = met(like, surveyed(like, share, 0), share, 0, 0.0)
+    flag = lambda s: weak.select(F.col("key").alias(s), F.lit(True).alias(f"weak_{s}"))
+    with_weak = found.join(flag("a"), "a", "left").join(flag("b"), "b", "left").where("weak_a or weak_b").select("a", "b")
     return pairs.unionByName(with_weak).distinct()
 
 

@@ -72,9 +72,11 @@ def test_hot_tokens_are_split(spark):
     phrase = words(rng, 6)
     texts = {i: phrase + words(rng, 30, 10**6) for i in range(80)}
     texts[500] = texts[3][:-2] + [1, 2]
-    held = D.tokens_of(spark.createDataFrame([(k, [int(x) for x in w]) for k, w in texts.items()], "key long, words array<int>"), 0.8, 0)
-    got = {(r.a, r.b) for r in D.met(held, 0.8, 0.0, hot=10).collect()}
-    assert (3, 500) in got and got == {(r.a, r.b) for r in D.met(held, 0.8, 0.0, hot=10**6).collect()}
+    df = spark.createDataFrame([(k, [int(x) for x in w]) for k, w in texts.items()], "key long, words array<int>")
+    told = D.surveyed(df, 0.8, 0)
+    assert told.where("what = 'frequent' and n >= 80").count() == 6
+    got = {(r.a, r.b) for r in D.met(df, told, 0.8, 0, 0.0, hot=10).collect()}
+    assert (3, 500) in got and got == {(r.a, r.b) for r in D.met(df, told, 0.8, 0, 0.0, hot=10**6).collect()}
 
 
 def test_short_lists_of_words(spark):
