@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.readings import LOOKS, PAIRS
-from archivolt.llm.scans import page_furniture
 from archivolt.operators.graph import components
 from archivolt.shared import cut, spread
 
@@ -53,6 +52,10 @@ SEAMS, WORDS_A_SEAM = 2, 100
 #: Texts with one n-gram that one task joins with the others.
 HOT = 2000
 
+#: Lines at each edge of a page that may be its furniture, and forms of numbers and entry marks.
+EDGES = 2
+NUMBER = regex.compile(r"(?i)^\W*(?:(?:page|p\.?|pg\.?|seite|с\.?|стр\.?)\s*)?(\d{1,4}|[ivxlc]{1,8})(?:\s*[-—–\])])?\s*$")
+LETTERHEAD = regex.compile(r"(?:From|To|Date|No|Subject)\s*[.:]|p\.\s?\d+\s|No\. \d")
 BROKEN = regex.compile(r"[-‐‑–—­¬][^\S\n]*\n\s*")
 MARK = regex.compile(r"[^\p{L}\p{N}\s!@]+")
 
@@ -66,9 +69,24 @@ def canonical(word: str) -> int:
     return xxhash.xxh32_intdigest(word) - (1 << 31)
 
 
+def titles(lines: list[str]) -> set[int]:
+    """Lines at a page's edges that are set aside for comparison: page numbers, and short ones in capitals or without the end of a sentence."""
+    full = [i for i, line in enumerate(lines) if line.strip()]
+    got: set[int] = set()
+    for side in (full[:EDGES], full[::-1][:EDGES]):
+        for i in side:
+            bare = lines[i].strip()
+            words = bare.split()
+            title = len(bare) < 60 and len(words) <= 7 and not bare[0].islower() and bare[-1] not in ".,;:?!-" and ":" not in bare and not LETTERHEAD.match(bare)
+            if not (NUMBER.match(bare) or title):
+                break
+            got.add(i)
+    return got
+
+
 def words_of(text: str, memo: dict[str, int]) -> list[int]:
     lines = text.split("\n")
-    drop = page_furniture(lines, set(), set())
+    drop = titles(lines)
     body = "\n".join(line for i, line in enumerate(lines) if i not in drop)
     got = []
     for word in MARK.sub("", BROKEN.sub("", body).lower()).split():
@@ -194,7 +212,7 @@ def met(texts: DataFrame, frequent: DataFrame, share: float, gram: int, extra: f
         rows: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["token", "key", "n", "size", "need", "at", "blocks"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["token", "salt", "side", "key", "n", "size", "need", "at"])
 
         held = 0
         for key, words, tokens in _texts(batches, gram):
@@ -209,22 +227,31 @@ def met(texts: DataFrame, frequent: DataFrame, share: float, gram: int, extra: f
                 df = np.zeros(size, np.int64)
             end = min(size, size - need + max(1, int(extra * need)))
             first = np.lexsort((tokens, df))[:end]
-            rows.append((tokens[first], np.full(end, key, np.int64), *(np.full(end, x, np.int32) for x in (words, size, need)), np.arange(end, dtype=np.int32), (df[first] // hot + 1).astype(np.int32)))
-            held += end
+            token, at = tokens[first], np.arange(end, dtype=np.int32)
+            blocks = (df[first] // hot + 1).astype(np.int32)
+            salt, side = np.zeros(end, np.int32), np.full(end, 2, np.int8)
+            if (many := np.flatnonzero(blocks > 1)).size:
+                # the texts of a frequent token are dealt to blocks on one side and go to every block on the other
+                salt[many], side[many] = xxhash.xxh32_intdigest(str(key)) % blocks[many], 0
+                again = np.repeat(many, blocks[many])
+                token, at, side = np.r_[token, token[again]], np.r_[at, at[again]], np.r_[side, np.ones(len(again), np.int8)]
+                salt = np.r_[salt, np.concatenate([np.arange(b, dtype=np.int32) for b in blocks[many]])]
+            rows.append((token, salt, side, np.full(len(token), key, np.int64), *(np.full(len(token), x, np.int32) for x in (words, size, need)), at))
+            held += len(token)
             if held > 200_000:
                 yield flush()
                 rows, held = [], 0
         if rows:
             yield flush()
 
-    prefix = texts.select("key", "words").mapInArrow(run, "token bigint, key bigint, n int, size int, need int, at int, blocks int")
-    # the texts of a frequent token are dealt to blocks on one side and go to every block on the other
-    salts = (F.pmod(F.xxhash64("key", "token"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    a, b = (prefix.select("token", salt.alias("salt"), *(F.col(c).alias(c + s) for c in ("key", "n", "size", "need", "at"))) for s, salt in zip(("_a", "_b"), salts))
+    prefix = texts.select("key", "words").mapInArrow(run, "token bigint, salt int, side tinyint, key bigint, n int, size int, need int, at int")
+    # both sides are the same rows, so they are shuffled once; which side a row stands for is asked of each pair
+    a, b = (prefix.select("token", "salt", *(F.col(c).alias(c + s) for c in ("side", "key", "n", "size", "need", "at"))) for s in ("_a", "_b"))
+    sides = (F.col("side_a") * 3 + F.col("side_b")).isin(1, 8)
     both = F.greatest("need_a", "need_b")
     lengths = F.least("n_a", "n_b") >= F.lit(share - 1e-9) * F.greatest("n_a", "n_b")
     position = F.least("at_a", "at_b") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= both
-    together = a.join(b, ["token", "salt"]).where((F.col("key_a") < F.col("key_b")) & lengths & position)
+    together = a.join(b, ["token", "salt"]).where((F.col("key_a") < F.col("key_b")) & sides & lengths & position)
     # what both need, less what may stand in the frequent parts, has to be met in the rare ones
     beyond = lambda s: F.col(f"need_{s}") - F.greatest(F.lit(1), F.floor(F.lit(extra) * F.col(f"need_{s}")))
     meet = F.greatest(F.lit(1), both - F.least(beyond("a"), beyond("b"))).cast("int")
