@@ -232,7 +232,7 @@ def met(texts: DataFrame, frequent: DataFrame, share: float, gram: int, extra: f
             salt, side = np.zeros(end, np.int32), np.full(end, 2, np.int8)
             if (many := np.flatnonzero(blocks > 1)).size:
                 # the texts of a frequent token are dealt to blocks on one side and go to every block on the other
-                salt[many], side[many] = xxhash.xxh32_intdigest(str(key)) % blocks[many], 0
+                salt[many], side[many] = (xxhash.xxh32_intdigest(str(key)) >> 1) % blocks[many].astype(np.int64), 0
                 again = np.repeat(many, blocks[many])
                 token, at, side = np.r_[token, token[again]], np.r_[at, at[again]], np.r_[side, np.ones(len(again), np.int8)]
                 salt = np.r_[salt, np.concatenate([np.arange(b, dtype=np.int32) for b in blocks[many]])]

@@ -79,6 +79,17 @@ def test_hot_tokens_are_split(spark):
     assert (3, 500) in got and got == {(r.a, r.b) for r in D.met(df, told, 0.8, 0, 0.0, hot=10**6).collect()}
 
 
+def test_hot_tokens_inside_the_rare_part(spark):
+    rng = random.Random(9)
+    texts = {i: [rng.randrange(14) for _ in range(12)] for i in range(120)}
+    df = spark.createDataFrame([(k, w) for k, w in texts.items()], "key long, words array<int>")
+    told = D.surveyed(df, 0.8, 0)
+    want = {(a, b) for a in texts for b in texts if a < b and alike(texts[a], texts[b])}
+    for hot in (7, 10**6):
+        got = [(r.a, r.b) for r in D.met(df, told, 0.8, 0, 0.0, hot=hot).collect()]
+        assert want and want <= set(got) and len(got) == len(set(got))
+
+
 def test_short_lists_of_words(spark):
     df = spark.createDataFrame([(1, [5]), (2, [5]), (3, [6])], "key long, words array<int>")
     assert {(r.a, r.b) for r in D.links(df).collect()} == {(1, 2)}
