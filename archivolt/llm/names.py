@@ -2,15 +2,19 @@
 
 A name is read as a person (given name, initials, surname) or an organisation
 (own name, activity, kind), whatever the order of its parts; titles, particles
-and fillers are put aside. Surnames and own names are linked by the trie join
-(trie_join.py); full names of one surname and one given name are a bearer, and
-shorter forms go to the only bearer they can mean.
+and fillers are put aside. A given name may be any: those of a list only add
+their short forms and tell which part they are. Surnames and own names are linked
+by the trie join (trie_join.py); where no part is a listed given name all parts go
+through it, and names whose parts pair off in any order are linked. Full names of
+one surname and one given name are a bearer, and shorter forms go to the only
+bearer they can mean.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations, product
 
 import pandas as pd
 import regex
@@ -20,9 +24,11 @@ from pyspark.sql.window import Window
 
 from archivolt.llm import name_terms as terms
 from archivolt.llm.readings import DIGITS, PAIRS
-from archivolt.llm.trie_join import near_strings, transposed
+from archivolt.llm.automaton import Automaton, Trie
+from archivolt.llm.tokens import vocabulary_path, whole_words
+from archivolt.llm.trie_join import near_strings
 from archivolt.operators.graph import components
-from archivolt.shared import cut
+from archivolt.shared import cut, spread
 
 #: Endings of one sound in transcriptions; fixed values.
 ENDINGS = ((regex.compile(r"o+(?:ff|v|w)$"), "ov"), (regex.compile(r"e+(?:ff|v|w)$"), "ev"), (regex.compile(r"i+(?:ff|v|w)$"), "iv"), (regex.compile(r"(?<=[nr])(?:ts|tz|z|cz|cs|c)$"), "ts"), (regex.compile(r"(?:ij|yi|iy|y|ii)$"), "i"))
@@ -44,24 +50,31 @@ def _forms(table: dict[str, str]) -> dict[str, str]:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
-    return _forms(terms.GIVEN), _forms(terms.KINDS), _forms(terms.ACTIVITIES)
+def _tables() -> tuple[tuple[dict[str, str], Trie], ...]:
+    forms = [_forms(t) for t in (terms.GIVEN, terms.KINDS, terms.ACTIVITIES)]
+    return tuple((f, Trie(sorted(f))) for f in forms)
+
+
+@lru_cache(maxsize=1)
+def _common() -> frozenset[str]:
+    return whole_words(vocabulary_path(), titled=False)
 
 
 @lru_cache(maxsize=200_000)
 def _look_up(word: str, which: int) -> tuple[str, int] | None:
     """The canonical form a word stands for and its edits: one in words of four letters, two in words of eight."""
-    table = _tables()[which]
+    table, trie = _tables()[which]
     if word in table:
         return table[word], 0
     for two, one in PAIRS:
         if two in word and (joined := word.replace(two, one)) in table:
             return table[joined], 1
     best: dict[str, int] = {}
-    for form, canonical in table.items():
+    for d, form in Automaton(word, False).words(trie, 2):
+        canonical = table[form]
         least = min(len(word) + 1, len(form))
         most = 2 if least >= 8 else 1 if least >= (4 if form == canonical else 5) else 0
-        if most and (d := transposed(word, form, most)) <= most:
+        if d <= most:
             best[canonical] = min(d, best.get(canonical, 9))
     if best:
         d = min(best.values())
@@ -86,9 +99,10 @@ def _freed(word: str) -> str:
     return word
 
 
-def parse(name: str) -> tuple[str, str, str, str] | None:
-    """(kind, own, main, more): for persons kind ``p``, surname, given name and initials; for organisations
-    ``o``, own name, kind of organisation and activity. None for what isn't read as a name."""
+def parse(name: str) -> tuple[str, str, str, str, str] | None:
+    """(kind, own, main, more, words), own names of several words in alphabetical order: for persons kind ``p``, surname, given name and initials; for organisations
+    ``o``, own name, kind of organisation and activity. ``words`` are the parts of a person's name where no list
+    tells which is the given name, else empty. None for single words and phrases of common words alone."""
     words = [w.translate(DIGITS) if any(c.isalpha() for c in w) else w for w in name.split()]
     words = [regex.sub(r"[^\p{L}\p{N}]", "", w) for w in words]
     words = [w for w in words if w]
@@ -96,50 +110,81 @@ def parse(name: str) -> tuple[str, str, str, str] | None:
     if kinds and len(words) > 1:
         acts = [a[0] for w in words if not _look_up(w, 1) and (a := _look_up(w, 2))]
         own = [w for w in words if not _look_up(w, 1) and not _look_up(w, 2) and w not in terms.FILLERS and w not in terms.PARTICLES and w not in terms.TITLES]
-        return ("o", sound(max(own, key=len)), kinds[0], acts[0] if acts else "") if len(own) == 1 and len(own[0]) > 3 else None
+        if own and not all(w in _common() for w in own):
+            return "o", " ".join(sorted(map(sound, own))), kinds[0], acts[0] if acts else "", ""
+        return None
     titled = any(w in terms.TITLES for w in words)
     rest = [w for w in words if w not in terms.TITLES and w not in terms.PARTICLES and w not in terms.SUFFIXES]
     rest = [_freed(w) for w in rest]
     initials = [w for w in rest if len(w) == 1]
     long_ = [w for w in rest if len(w) > 1]
-    if not long_ or len(long_) > 3:
+    if not long_:
         return None
     if len(long_) == 1:
-        if not initials and not titled:
-            both = _glued(long_[0])
-            return ("p", sound(both[1]), both[0], "") if both else None
         both = _glued(long_[0])
         if both:
-            return "p", sound(both[1]), both[0], "".join(initials)
-        return ("p", sound(long_[0]), "", "".join(initials)) if len(long_[0]) > 3 else None
+            return "p", sound(both[1]), both[0], "".join(initials), ""
+        return ("p", sound(long_[0]), "", "".join(initials), "") if initials or titled else None
     read = sorted((k[1], i) for i, w in enumerate(long_) if (k := _look_up(w, 0)))
-    given = [long_[i] for d, i in read if d == read[0][0]]
-    if not given:
-        short = [w for w in long_ if len(w) <= 4 and any(g.startswith(w) for g in terms.GIVEN)]
-        if len(long_) == 2 and len(short) == 1:
-            own = next(w for w in long_ if w != short[0])
-            return ("p", sound(own), "", short[0] + "".join(initials)) if len(own) > 4 else None
-        return None
-    own = [w for w in long_ if w != given[0] and w not in given[1:]]
-    if len(own) != 1 or len(own[0]) < 4:
+    if read:
+        given = long_[read[0][1]]
+        also = [long_[i] for d, i in read if d == read[0][0]]
+        own = [w for i, w in enumerate(long_) if i != read[0][1] and (w not in also or len(also) == len(long_))]
+        if own:
+            # which of two given names is the surname can't be told, so the parts are also compared in any order
+            return "p", sound(" ".join(sorted(own))), _look_up(given, 0)[0], "".join(initials), " ".join(long_) if len(also) == len(long_) else ""
+    short = [w for w in long_ if len(w) <= 4 and any(g.startswith(w) for g in terms.GIVEN)]
+    if len(long_) == 2 and len(short) == 1:
+        own = next(w for w in long_ if w != short[0])
+        if own not in _common():
+            return "p", sound(own), "", short[0] + "".join(initials), ""
+    if all(w in _common() or w in terms.FILLERS or len(w) < 3 for w in long_):
         return None
-    return "p", sound(own[0]), _look_up(given[0], 0)[0], "".join(initials)
+    return "p", sound(long_[-1]), " ".join(long_[:-1]), "".join(initials), " ".join(long_)
 
 
 def parsed(names: DataFrame, column: str = "name") -> DataFrame:
-    """name, kind, own, main, more of every name that is read as one."""
+    """name, kind, own, main, more and words of every name that is read as one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(n, *p) for n in frame["name"] if (p := parse(n))]
-            yield pd.DataFrame(rows, columns=["name", "kind", "own", "main", "more"])
+            yield pd.DataFrame(rows, columns=["name", "kind", "own", "main", "more", "words"])
 
-    return names.select(F.col(column).alias("name")).mapInPandas(run, "name string, kind string, own string, main string, more string")
+    return spread(names.select(F.col(column).alias("name"))).mapInPandas(run, "name string, kind string, own string, main string, more string, words string")
 
 
-def close_enough(distance, a, b):
-    """Whether two surnames or own names this far apart may be one: one edit, or two in long ones."""
-    return (distance <= 1) & (F.least(F.length(a), F.length(b)) >= 5) | (distance <= 2) & (F.least(F.length(a), F.length(b)) >= 9)  # with the kind, a letter
+def permuted(names: DataFrame) -> DataFrame:
+    """a, b: names (name, words) of as many parts, whose parts pair off in any order, at most two of them spelled differently.
+
+    Parts are linked by the trie join; each name asks for its sorted parts with one
+    or two of them put in place of near ones, an equality join on whole names.
+    """
+    parts = names.select("name", F.posexplode(F.split("words", " ")).alias("at", "part"))
+    near = near_strings(parts, "part")
+    reach = near.select(F.col("a").alias("part"), F.col("b").alias("other")).unionAll(near.select(F.col("b").alias("part"), F.col("a").alias("other")))
+    others = parts.join(reach, "part").groupBy("name", "at").agg(F.collect_set("other").alias("others")).groupBy("name").agg(F.collect_list(F.struct("at", "others")).alias("others"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, words, near in zip(frame["name"], frame["words"], frame["others"]):
+                own = words.split(" ")
+                keys = {" ".join(sorted(own))}
+                there = {} if near is None else {x["at"]: list(x["others"]) for x in near}
+                for many in (1, 2):
+                    for places in combinations(sorted(there), many):
+                        for put in product(*(there[p] for p in places)):
+                            made = list(own)
+                            for p, w in zip(places, put):
+                                made[p] = w
+                            keys.add(" ".join(sorted(made)))
+                rows += [(name, k) for k in keys]
+            yield pd.DataFrame(rows, columns=["a", "key"])
+
+    asked = names.join(others, "name", "left").select("name", "words", "others").mapInPandas(run, "a string, key string")
+    index = names.select(F.col("name").alias("b"), F.array_join(F.array_sort(F.split("words", " ")), " ").alias("key"))
+    return asked.join(index, "key").where("a <> b").select("a", "b").distinct()
 
 
 def entities(names: DataFrame, column: str = "name") -> DataFrame:
@@ -150,8 +195,7 @@ def entities(names: DataFrame, column: str = "name") -> DataFrame:
     surname goes to none of them. Null and empty names drop out.
     """
     read = cut(parsed(names.select(column).where(f"{column} <> ''").distinct(), column))
-    near = near_strings(read.select(F.concat("kind", "own").alias("s")).distinct(), "s", 2)
-    ok = near.where(close_enough(F.col("distance"), F.col("a"), F.col("b")) & (F.left("a", F.lit(1)) == F.left("b", F.lit(1))))
+    ok = cut(near_strings(read, "own", "kind").select(F.concat("kind", "a").alias("a"), F.concat("kind", "b").alias("b"), "distance"))
     sides = ok.select("a", "b", "distance").unionAll(ok.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     own = read.withColumn("key", F.concat("kind", "own"))
     same = own.select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(0).alias("distance")).distinct()
@@ -169,6 +213,12 @@ def entities(names: DataFrame, column: str = "name") -> DataFrame:
     nodes = told.select("tier", "key", "trait", "node").distinct()
     ends = nodes.select("tier", "trait", F.col("key").alias("b"), F.col("node").alias("other"))
     edges = nodes.join(reach, F.col("key") == F.col("a")).join(ends, ["tier", "trait", "b"]).select("node", "other")
+    free = cut(read.where("words <> ''").select("name", "words"))
+    if not free.isEmpty():
+        # names whose given name no list tells: the same parts in another order or spelling
+        at = told.select("name", "node")
+        found = permuted(free).join(at.withColumnRenamed("name", "a"), "a").join(at.select(F.col("name").alias("b"), F.col("node").alias("other")), "b")
+        edges = edges.unionByName(found.select("node", "other").distinct())
     known = cut(told.join(components(edges, "node", "other"), "node").select("name", "key", "start", "tier", "trait", F.col("component").alias("bearer")))
 
     def attach(part: DataFrame, to: DataFrame, fits) -> DataFrame:

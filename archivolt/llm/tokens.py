@@ -44,12 +44,12 @@ def _vocabulary(path: str, pattern: str | None) -> tuple[dict[bytes, int], regex
     return ranks, regex.compile(pattern)
 
 
-@lru_cache(maxsize=2)
-def whole_words(path: str, least: int = 3) -> frozenset[str]:
-    """Lower-case words that the public vocabulary holds whole, as they follow a blank: common words, however large the corpus is."""
+@lru_cache(maxsize=4)
+def whole_words(path: str, least: int = 3, titled: bool = True) -> frozenset[str]:
+    """Words that the public vocabulary holds whole, as they follow a blank: common words, however large the corpus is; ``titled`` with names."""
     ranks, _ = _vocabulary(path, None)
     texts = (t[1:].decode("utf-8", "replace") for t in ranks if t[:1] == b" ")
-    return frozenset(t.lower() for t in texts if len(t) >= least and t.isalpha() and (t.islower() or t.istitle()))
+    return frozenset(t.lower() for t in texts if len(t) >= least and t.isalpha() and (t.islower() or titled and t.istitle()))
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:

@@ -169,23 +169,52 @@ def test_pieces_of_odd_rows(spark):
 
 
 def test_trie_join_against_all_pairs(spark):
-    rng = random.Random(7)
-    own = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(150)}
-    got = {(r.a, r.b): r.distance for r in trie_join.near_strings(spark.createDataFrame([(s,) for s in [*own, *own, None, ""]], "s string"), "s", 2).collect()}
-
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            new = [i + 1]
-            for j, y in enumerate(b):
-                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
-            row = new
-        return row[-1]
-
-    assert set(got) == {(a, b) for a in own for b in own if a < b and plain(a, b) <= 2}
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abc") for _ in range(rng.randrange(3, 12))) for _ in range(60)]
+
+    def changed(s):
+        i = rng.randrange(len(s) - 1)
+        return rng.choice([s[:i] + s[i + 1 :], s[:i] + "b" + s[i:], s[:i] + "c" + s[i + 1 :], s[:i] + s[i + 1] + s[i] + s[i + 2 :]])
+
+    own = sorted({x for s in base for x in (s, changed(s), changed(changed(s)))})
+    rows = [(s, g) for g in "xy" for s in own] + [(None, "x"), ("", "x"), (own[0], "x"), (own[1], None)]
+    most = lambda a, b: trie_join.allowed(min(len(a), len(b)))
+    want = {(a, b): d for a in own for b in own if a < b and (d := trie_join.transposed(a, b, 2)) <= most(a, b)}
+    for block in (20_000, 5):
+        got = trie_join.near_strings(spark.createDataFrame(rows, "s string, g string"), "s", "g", block).collect()
+        assert {(r.a, r.b): r.distance for r in got if r.g == "x"} == want == {(r.a, r.b): r.distance for r in got if r.g == "y"}
+        assert len(got) == 2 * len(want)
+    assert trie_join.near_strings(spark.createDataFrame([], "s string"), "s").count() == 0
     assert trie_join.transposed("ewdard", "edward", 2) == 1 and trie_join.transposed("abc", "xyz", 2) > 2
 
 
+def test_names_outside_the_list_are_linked(spark):
+    groups = [["klaus fuchs", "fuchs klaus", "klaus fuchz", "dr klaus fuchs"], ["ethel rosenberg", "ethel rosenburg", "rosenberg ethel"], ["hiroshi tanaka", "hirosih tanaka"], ["giovanni rossi", "rossi giovanni"], ["robert lee", "bob lee"], ["maria de los angeles quijano", "quijano maria angeles los"]]
+    other = ["klaus barbie", "ethel merman", "military camera", "camera military", "hiroshi yamada", "", None]
+    found = names.variants(names.entities(spark.createDataFrame([(n,) for g in groups for n in g] + [(n,) for n in other], "name string")))
+    got = {(r.name_a, r.name_b) for r in found.collect()}
+    assert got == {(a, b) for g in groups for a in g for b in g if a < b}
+
+
+def test_permuted_names_against_all_orders(spark):
+    from itertools import permutations
+
+    rng = random.Random(4)
+    parts = ["klaus", "fuchs", "tanaka", "hiroshi", "rossini", "giovanni", "rosenberg"]
+    own = set()
+    for _ in range(60):
+        a = rng.sample(parts, rng.choice((2, 3)))
+        if rng.random() < 0.6:
+            i = rng.randrange(len(a))
+            a[i] = a[i][:2] + "x" + a[i][3:]
+        own.add(" ".join(a))
+    near = lambda x, y: x == y or trie_join.transposed(x, y, 2) <= trie_join.allowed(min(len(x), len(y)))
+    alike = lambda a, b: len(a) == len(b) and any(all(map(near, a, p)) and sum(x != y for x, y in zip(a, p)) <= 2 for p in permutations(b))
+    want = {(a, b) for a in own for b in own if a != b and alike(a.split(), b.split())}
+    got = {(r.a, r.b) for r in names.permuted(spark.createDataFrame([(n, n) for n in own], "name string, words string")).collect()}
+    assert got == want and want
+
+
 @pytest.mark.parametrize(
     "name, read",
     [
@@ -194,7 +223,7 @@ def test_trie_join_against_all_pairs(spark):
     ],
 )
 def test_reading_of_names(name, read):
-    assert names.parse(name) == read
+    assert (got := names.parse(name)) == (read and (*read, got[4]))
 
 
 def test_variants_are_linked_and_bearers_kept_apart(spark):
