@@ -60,6 +60,13 @@ def _common() -> frozenset[str]:
     return whole_words(vocabulary_path(), titled=False)
 
 
+@lru_cache(maxsize=200_000)
+def _ordinary(word: str) -> bool:
+    """Whether a word is common, short, or made of two common words."""
+    own = _common()
+    return len(word) < 3 or word in own or word in terms.FILLERS or any(word[:k] in own and word[k:] in own for k in range(3, len(word) - 2))
+
+
 @lru_cache(maxsize=200_000)
 def _look_up(word: str, which: int) -> tuple[str, int] | None:
     """The canonical form a word stands for and its edits: one in words of four letters, two in words of eight."""
@@ -110,7 +117,7 @@ def parse(name: str) -> tuple[str, str, str, str, str] | None:
     if kinds and len(words) > 1:
         acts = [a[0] for w in words if not _look_up(w, 1) and (a := _look_up(w, 2))]
         own = [w for w in words if not _look_up(w, 1) and not _look_up(w, 2) and w not in terms.FILLERS and w not in terms.PARTICLES and w not in terms.TITLES]
-        if own and not all(w in _common() for w in own):
+        if own and not all(map(_ordinary, own)):
             return "o", " ".join(sorted(map(sound, own))), kinds[0], acts[0] if acts else "", ""
         return None
     titled = any(w in terms.TITLES for w in words)
@@ -136,9 +143,9 @@ def parse(name: str) -> tuple[str, str, str, str, str] | None:
     short = [w for w in long_ if len(w) <= 4 and any(g.startswith(w) for g in terms.GIVEN)]
     if len(long_) == 2 and len(short) == 1:
         own = next(w for w in long_ if w != short[0])
-        if own not in _common():
+        if not _ordinary(own):
             return "p", sound(own), "", short[0] + "".join(initials), ""
-    if all(w in _common() or w in terms.FILLERS or len(w) < 3 for w in long_):
+    if all(map(_ordinary, long_)):
         return None
     return "p", sound(long_[-1]), " ".join(long_[:-1]), "".join(initials), " ".join(long_)
 
