@@ -49,35 +49,36 @@ def orphans(child: DataFrame, parent: DataFrame, keys: dict[str, str], rule: str
     return reduce(DataFrame.unionAll, parts) if parts else child.limit(0)
 
 
-def dangling(refs: DataFrame, target: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+def dangling(refs: DataFrame, target: DataFrame, removed: DataFrame | None = None, keys: tuple[str, ...] = ("ref_id",)) -> DataFrame:
     """References that lead nowhere, were removed, or lead to later records.
 
-    ``refs``: source_field, record_id, ref_id, cited_at. ``target``: ref_id,
-    made_at. ``removed``: ref_id. Returns distinct source_field, record_id,
-    ref_id, cited_at, kind with kind ``missing``, ``deleted`` or ``late``.
-    A null ref_id is no reference. A null cited_at or made_at is never late. Of
-    several rows of one target id the earliest made_at counts; a repeated
-    citing row gives one row.
+    ``refs``: source_field, record_id, the ``keys`` and cited_at. ``target``: the
+    keys and made_at. ``removed``: the keys. A reference holds what its non-null
+    keys hold together in one target row (rule ``partial``), so references of
+    several kinds, each with a key column of its own, go through one call; all
+    keys null is no reference. Returns distinct source_field, record_id, the keys,
+    cited_at, kind with kind ``missing``, ``deleted`` or ``late``. A null cited_at
+    or made_at is never late. Of several rows of one target the earliest made_at
+    counts; a repeated citing row gives one row.
     """
-    refs = refs.select("source_field", "record_id", "ref_id", "cited_at").where("ref_id is not null")
-    keys = refs.groupBy("ref_id").agg(F.min("cited_at").alias("first_cited"))
-    there = target.where("ref_id is not null").groupBy("ref_id").agg(F.min("made_at").alias("made_at"))
-    gone = orphans(keys, there, {"ref_id": "ref_id"}, "simple").select("ref_id")
+    cols = list(keys)
+    some = reduce(Column.__or__, (F.col(c).isNotNull() for c in cols))
+    same = reduce(Column.__and__, (F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in cols))
+    own = [F.col(f"a.`{c}`").alias(c) for c in cols]
+    join = lambda a, b, how="inner": a.alias("a").join(b.alias("b"), same, how)
+    refs = refs.select("source_field", "record_id", *cols, "cited_at").where(some)
+    cited = refs.groupBy(*cols).agg(F.min("cited_at").alias("first_cited"))
+    there = target.where(some).groupBy(*cols).agg(F.min("made_at").alias("made_at"))
+    gone = orphans(cited, there, {c: c for c in cols}, "partial").select(*cols)
     if removed is None:
         gone = gone.withColumn("bad", F.lit("missing"))
     else:
-        listed = removed.select(F.col("ref_id").alias("r_id")).where("r_id is not null").distinct()
-        gone = gone.join(listed, F.col("ref_id") == F.col("r_id"), "left").select("ref_id", F.when(F.col("r_id").isNull(), "missing").otherwise("deleted").alias("bad"))
-    late = keys.join(there, "ref_id").where("made_at > first_cited")
-    bad = gone.select("ref_id", "bad", F.lit(None).cast("timestamp_ntz").alias("made_at")).unionByName(
-        late.select("ref_id", F.lit("late").alias("bad"), F.col("made_at").cast("timestamp_ntz").alias("made_at"))
-    )
-    return (
-        refs.join(bad, "ref_id")
-        .where((F.col("bad") != "late") | (F.col("made_at") > F.col("cited_at").cast("timestamp_ntz")))
-        .select("source_field", "record_id", "ref_id", "cited_at", F.col("bad").alias("kind"))
-        .distinct()
-    )
+        listed = removed.select(*cols).where(some).distinct().withColumn("listed", F.lit(True))
+        gone = join(gone, listed, "left").select(*own, F.when(F.col("listed"), "deleted").otherwise("missing").alias("bad"))
+    late = join(cited, there).where("made_at > first_cited").select(*own, F.lit("late").alias("bad"), F.col("made_at").cast("timestamp_ntz").alias("made_at"))
+    bad = gone.select(*cols, "bad", F.lit(None).cast("timestamp_ntz").alias("made_at")).unionByName(late)
+    told = join(refs, bad).where((F.col("bad") != "late") | (F.col("made_at") > F.col("cited_at").cast("timestamp_ntz")))
+    return told.select("source_field", "record_id", *own, "cited_at", F.col("bad").alias("kind")).distinct()
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -10,19 +10,20 @@ from archivolt.operators.references import dangling, report
 
 
 def _all(spark: SparkSession, folder: str) -> DataFrame:
-    sets, runs = table(spark, folder, "result_sets"), table(spark, folder, "retrieval_runs")
-    chunks = table(spark, folder, "chunks").select(F.col("chunk_id").alias("ref_id"), F.col("created_at").alias("made_at"))
-    removed = table(spark, folder, "removed_chunks").select(F.col("chunk_id").alias("ref_id"))
-
-    def cites(df: DataFrame, field: str, record: str, ref) -> DataFrame:
-        return df.select(F.lit(field).alias("source_field"), F.col(record).alias("record_id"), ref.alias("ref_id"), F.col("created_at").alias("cited_at"))
-
-    to_chunks = cites(sets, "result_sets.chunk_ids", "result_set_id", F.explode("chunk_ids")).unionAll(
-        cites(runs, "retrieval_runs.returned_chunk_ids", "retrieval_run_id", F.explode("returned_chunk_ids"))
-    )
-    to_runs = cites(sets, "result_sets.retrieval_run_id", "result_set_id", F.col("retrieval_run_id"))
-    made = runs.select(F.col("retrieval_run_id").alias("ref_id"), F.col("created_at").alias("made_at"))
-    return dangling(to_chunks, chunks, removed).unionAll(dangling(to_runs, made))
+    """All references as one composite key of a run and a chunk, the part that a field doesn't cite null."""
+    sets, runs, chunks = (table(spark, folder, n) for n in ("result_sets", "retrieval_runs", "chunks"))
+    none = F.lit(None).cast("bigint")
+
+    def cites(df: DataFrame, field: str, record: str, run, chunk) -> DataFrame:
+        return df.select(F.lit(field).alias("source_field"), F.col(record).alias("record_id"), run.alias("run_id"), chunk.alias("chunk_id"), F.col("created_at").alias("cited_at"))
+
+    refs = cites(sets, "result_sets.chunk_ids", "result_set_id", none, F.explode("chunk_ids"))
+    refs = refs.unionAll(cites(runs, "retrieval_runs.returned_chunk_ids", "retrieval_run_id", none, F.explode("returned_chunk_ids")))
+    refs = refs.unionAll(cites(sets, "result_sets.retrieval_run_id", "result_set_id", F.col("retrieval_run_id"), none))
+    target = chunks.select(none.alias("run_id"), "chunk_id", F.col("created_at").alias("made_at")).unionAll(runs.select(F.col("retrieval_run_id").alias("run_id"), none.alias("chunk_id"), F.col("created_at").alias("made_at")))
+    removed = table(spark, folder, "removed_chunks").select(none.alias("run_id"), "chunk_id")
+    found = dangling(refs, target, removed, ("run_id", "chunk_id"))
+    return found.select("source_field", "record_id", F.coalesce("chunk_id", "run_id").alias("ref_id"), "cited_at", "kind")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

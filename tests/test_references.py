@@ -48,3 +48,12 @@ def test_hot_key(spark):
     refs = spark.range(3000).select(F.lit("f").alias("source_field"), F.col("id").alias("record_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("ref_id"), F.lit(None).cast("timestamp_ntz").alias("cited_at"))
     target = spark.range(8, 5000).select(F.col("id").alias("ref_id"), F.lit(None).cast("timestamp_ntz").alias("made_at"))
     assert dangling(refs, target).where("ref_id = 7").count() == 1001
+
+
+def test_kinds_of_references_with_keys_of_their_own(spark):
+    day = lambda d: T(2020, 1, d)
+    refs = spark.createDataFrame([("c", 1, None, 10, day(5)), ("c", 1, None, 11, day(5)), ("r", 2, 10, None, day(5)), ("r", 3, 12, None, day(1)), ("r", 4, None, None, day(1)), ("both", 5, 12, 10, day(5)), ("both", 6, 12, 11, day(5))], "source_field string, record_id int, run_id int, chunk_id int, cited_at timestamp_ntz")
+    target = spark.createDataFrame([(None, 10, day(1)), (12, None, day(3)), (12, 10, day(3))], "run_id int, chunk_id int, made_at timestamp_ntz")
+    removed = spark.createDataFrame([(None, 11)], "run_id int, chunk_id int")
+    got = sorted((r.record_id, r.kind) for r in dangling(refs, target, removed, ("run_id", "chunk_id")).collect())
+    assert got == [(1, "deleted"), (2, "missing"), (3, "late"), (6, "missing")]
