@@ -61,6 +61,8 @@ class Automaton:
         """(errors, word) of the trie's words within ``most`` errors, the nearest first."""
         if most == 1 and not self.free and not self.any:
             return self._one(trie)
+        if most == 2 and not self.free and not self.any:
+            return self._two(trie)
         found: dict[str, int] = {}
         none = [0] * (most + 1)
         todo = [(trie.root, self._closed([1, *none[1:]]), none)]
@@ -109,3 +111,26 @@ class Automaton:
                         found[word] = min(0 if m0 & end else 1, found.get(word, 1))
                     todo.append((below, m0, m1, half))
         return sorted((e, w) for w, e in found.items())
+
+    def _two(self, trie: Trie) -> list[tuple[int, str]]:
+        """The same for two errors."""
+        found: dict[str, int] = {}
+        on_, full, end = self.on, (1 << self.n + 1) - 1, 1 << self.n
+        todo = [(trie.root, 1, 3 & full, 7 & full, 0, 0)]
+        while todo:
+            node, r0, r1, r2, s0, s1 = todo.pop()
+            for c in node if r0 | r1 else on_:
+                below = node.get(c)
+                if below is None or c is None:
+                    continue
+                on = on_.get(c, 0)
+                m0 = (r0 & on) << 1
+                m1 = ((r1 & on) << 1 | r0 << 1 | r0 | (s0 & on) << 2 | m0 << 1) & full
+                m2 = ((r2 & on) << 1 | r1 << 1 | r1 | (s1 & on) << 2 | m1 << 1) & full
+                h0, h1 = r0 & on >> 1, r1 & on >> 1
+                if m0 | m1 | m2 | h0 | h1:
+                    word = below.get(None)
+                    if word is not None and (m0 | m1 | m2) & end:
+                        found[word] = min(0 if m0 & end else 1 if m1 & end else 2, found.get(word, 2))
+                    todo.append((below, m0, m1, m2, h0, h1))
+        return sorted((e, w) for w, e in found.items())

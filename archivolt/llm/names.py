@@ -77,7 +77,7 @@ def _look_up(word: str, which: int) -> tuple[str, int] | None:
         if two in word and (joined := word.replace(two, one)) in table:
             return table[joined], 1
     best: dict[str, int] = {}
-    for d, form in Automaton(word, False).words(trie, 2):
+    for d, form in Automaton(word, False).words(trie, 2 if len(word) >= 7 else 1):
         canonical = table[form]
         least = min(len(word) + 1, len(form))
         most = 2 if least >= 8 else 1 if least >= (4 if form == canonical else 5) else 0
