@@ -7,16 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from archivolt.catalog import table
 from archivolt.llm.mixing import mix, shares
 from archivolt.llm.tokens import count_tokens
-from archivolt.shared import spread
+from archivolt.shared import cut, spread
 
 
-def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     listed = table(spark, folder, "documents").where("source is not null").select("doc_id", "source", "text")
-    return mix(count_tokens(spread(listed), "doc_id", "text", keep=("source",)), table(spark, folder, "mix_targets"))
+    return count_tokens(spread(listed), "doc_id", "text", keep=("source",))
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(_sizes(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
+    sizes, targets = cut(_sizes(spark, folder)), table(spark, folder, "mix_targets")
+    return shares(mix(sizes, targets), targets, sizes=sizes)
 
 
 QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares}

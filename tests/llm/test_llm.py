@@ -316,7 +316,7 @@ def _mix_tables(spark):
 
 def test_mix_holds_the_shares(spark):
     docs, targets = _mix_tables(spark)
-    mixed = mixing.mix(docs, targets)
+    mixed = mixing.mix(docs, targets, budget=mixing.EVEN)
     got = {r.source: r for r in mixing.shares(mixed, targets).collect()}
     assert got["absent"].n_tokens == 0 and set(got) == {"big", "middle", "small", "absent"}
     for name, share in (("big", 0.5 / 0.9), ("middle", 0.3 / 0.9), ("small", 0.1 / 0.9)):
@@ -330,6 +330,20 @@ def test_mix_holds_the_shares(spark):
     assert max(r.copy_no for r in rows) == 3 and len({(r.doc_id, r.copy_no) for r in rows}) == len(rows)
 
 
+def test_a_mix_uses_what_there_is(spark):
+    docs, targets = _mix_tables(spark)
+    listed = {s: sum(r.n_tokens or 0 for r in docs.collect() if r.source == s) for s in ("big", "middle", "small")}
+    mixed = mixing.mix(docs, targets)
+    got = {r.source: r for r in mixing.shares(mixed, targets, sizes=docs).collect()}
+    budget = sum(listed.values())
+    assert {r.budget for r in got.values()} == {budget} and budget - 100 <= sum(r.n_tokens for r in got.values()) <= budget
+    assert got["small"].n_tokens == 4 * listed["small"] and got["small"].shortfall > 0 and got["absent"].shortfall > 0
+    assert got["big"].n_left_out == listed["big"] - got["big"].n_tokens >= 0 and got["big"].passes == 1
+    # the sources that don't run out keep their weights to each other
+    assert got["middle"].n_tokens == listed["middle"] or abs(got["big"].n_tokens / got["middle"].n_tokens - 0.5 / 0.3) < 0.02
+    assert mixing.shares(mixing.mix(docs.limit(0), targets), targets, sizes=docs.limit(0)).count() == 4
+
+
 def test_mix_beyond_what_there_is_and_of_nothing(spark):
     docs, targets = _mix_tables(spark)
     got = {r.source: r for r in mixing.shares(mixing.mix(docs, targets, budget=1e9), targets).collect()}
