@@ -4,21 +4,32 @@ from __future__ import annotations
 
 import re
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 _M = "|".join(MONTHS)
-#: Forms of dates with how precise they are: pattern, order of its groups. The longest form at a place wins.
-DAY_FIRST = rf"(\d{{1,2}} (?:{_M}) \d{{4}})"
-MONTH_FIRST = rf"((?:{_M}) \d{{1,2}}, \d{{4}})"
-NUMERIC = r"(?:^|[^\d.])(\d{1,2}\.\d{1,2}\.\d{2})(?:[^\d]|$)"
-MONTH_ONLY = rf"(?:^|[^\d] |[^\d ])((?:{_M}) \d{{4}})"
-
-
-def _month(name: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("int")
+_ABBR = "Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
+_NAME = rf"(?:{_M}|(?:{_ABBR})\.?)"
+_ORD = "(?:st|nd|rd|th)?"
+_YEAR = r"(?:1[5-9]\d\d|20\d\d)"
+#: Forms of dates, tried in this order at each place, with how precise and how sure they are.
+FORMS = (
+    (rf"{_YEAR} ?[-–] ?{_YEAR}", "range", 0.8),
+    (r"\d{4}-\d{2}-\d{2}", "iso", 0.95),
+    (rf"\d{{1,2}}{_ORD} {_NAME},? {_YEAR}", "day first", 0.95),
+    (rf"{_NAME} \d{{1,2}}{_ORD},? {_YEAR}", "month first", 0.95),
+    (r"\d{1,2}/\d{1,2}/(?:\d{4}|\d{2})", "slashes", 0.7),
+    (r"\d{1,2}\.\d{1,2}\.(?:\d{4}|\d{2})", "dots", 0.7),
+    (rf"{_NAME} {_YEAR}", "month", 0.8),
+    (rf"(?:[Ii]n|[Ss]ince|[Dd]uring|[Uu]ntil|[Bb]efore|[Aa]fter) {_YEAR}", "year", 0.6),
+)
+#: One pattern for a single pass; a digit or letter before or after makes it no date.
+ANY = r"(?:^|[^\w.,/-])(" + "|".join(p for p, _, _ in FORMS) + r")(?:[^\w/-]|$)"
+#: Three letters of the months in order, to read names and abbreviations alike.
+SHORT = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
@@ -29,18 +40,31 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 def date_mentions(df: DataFrame, key: str, text: str, century: int = 1900) -> DataFrame:
     """key, surface, date_start, date_end, precision and confidence of the dates in each text.
 
-    Day first or month first dates and numeric ones are of a day, a month with a
-    year spans it. Impossible dates drop out; repeats in one text stay one row.
+    All forms are found in one pass over the text, the first that fits at a place
+    (FORMS), and told apart afterwards. Days span themselves, months, years and
+    ranges of years all their days; a year of two digits is of ``century``, and
+    slashes hold the month first. Impossible dates drop out; repeats in one text
+    stay one row; null texts give nothing.
     """
-    part = lambda i: F.split("surface", r"[ .,]+").getItem(i)
-    each = lambda pattern: df.select(F.col(key), F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("surface")).distinct()
-    day = each(DAY_FIRST).withColumn("date_start", _date(part(2).cast("int"), _month(part(1)), part(0).cast("int")))
-    month = each(MONTH_FIRST).withColumn("date_start", _date(part(2).cast("int"), _month(part(0)), part(1).cast("int")))
-    number = each(NUMERIC).withColumn("date_start", _date(part(2).cast("int") + century, part(1).cast("int"), part(0).cast("int")))
-    whole = each(MONTH_ONLY).withColumn("date_start", _date(part(1).cast("int"), _month(part(0)), F.lit(1)))
-    days = [x.withColumn("date_end", F.col("date_start")).withColumn("precision", F.lit("day")).withColumn("confidence", F.lit(c)) for x, c in ((day, 0.95), (month, 0.95), (number, 0.7))]
-    spans = whole.withColumn("date_end", F.last_day("date_start")).withColumn("precision", F.lit("month")).withColumn("confidence", F.lit(0.8))
-    return days[0].unionByName(days[1]).unionByName(days[2]).unionByName(spans).where("date_start is not null")
+    each = df.select(F.col(key), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(1)))).alias("surface"))
+    s = F.col("surface")
+    form = reduce(lambda c, f: c.when(s.rlike(f"^(?:{f[0]})$"), f[1]), FORMS[1:], F.when(s.rlike(f"^(?:{FORMS[0][0]})$"), FORMS[0][1]))
+    number = lambda n: F.try_element_at(F.regexp_extract_all(s, F.lit(r"(\d+)"), F.lit(1)), F.lit(n)).cast("int")
+    name = F.lower(F.left(F.regexp_extract(s, r"([A-Z][a-z]+)", 1), F.lit(3)))
+    month = ((F.instr(F.lit(SHORT), name) + 2) / 3).cast("int")
+    full = lambda y: F.when(y < 100, y + century).otherwise(y)
+    told = each.withColumn("form", form).withColumns({"n1": number(1), "n2": number(2), "n3": number(3), "m": month})
+    is_ = lambda *names: F.col("form").isin(*names)
+    n1, n2, n3, m, one = F.col("n1"), F.col("n2"), F.col("n3"), F.col("m"), F.lit(1)
+    start = (
+        F.when(is_("range", "year"), _date(n1, one, one)).when(is_("iso"), _date(n1, n2, n3)).when(is_("day first"), _date(n2, m, n1)).when(is_("month first"), _date(n2, m, n1))
+        .when(is_("slashes"), _date(full(n3), n1, n2)).when(is_("dots"), _date(full(n3), n2, n1)).otherwise(_date(n1, m, one))
+    )
+    end = F.when(is_("range"), _date(n2, F.lit(12), F.lit(31))).when(is_("year"), _date(n1, F.lit(12), F.lit(31))).when(is_("month"), F.last_day("date_start")).otherwise(F.col("date_start"))
+    precision = F.when(is_("range", "year", "month"), F.col("form")).otherwise("day")
+    sure = reduce(lambda c, f: c.when(F.col("form") == f[1], f[2]), FORMS[1:], F.when(F.col("form") == FORMS[0][1], FORMS[0][2]))
+    dated = told.withColumn("date_start", start).withColumn("date_end", end).where("date_start is not null and date_end >= date_start")
+    return dated.select(key, "surface", "date_start", "date_end", precision.alias("precision"), sure.alias("confidence"))
 
 
 def relative_range(text: str, today: date) -> tuple[date | None, date | None] | None:

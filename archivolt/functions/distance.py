@@ -9,34 +9,69 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Cost of reading one for the other in scans; fixed values.
-CONFUSIONS = {("rn", "m"): 0.3, ("cl", "d"): 0.3, ("vv", "w"): 0.3, ("ii", "u"): 0.4, ("l", "1"): 0.2, ("i", "1"): 0.2, ("o", "0"): 0.2, ("s", "5"): 0.3, ("b", "6"): 0.4, ("e", "c"): 0.4, ("h", "b"): 0.5, ("l", "i"): 0.3, ("u", "n"): 0.5, ("f", "t"): 0.5}
-_COST = CONFUSIONS | {(b, a): c for (a, b), c in CONFUSIONS.items()}
+#: Cost of reading one for the other in scans; fixed values. An empty right side is a sign that is lost.
+CONFUSIONS = {
+    ("rn", "m"): 0.2, ("m", "rn"): 0.2, ("cl", "d"): 0.3, ("d", "cl"): 0.3, ("vv", "w"): 0.2, ("w", "vv"): 0.2, ("ri", "n"): 0.3, ("n", "ri"): 0.3, ("nn", "m"): 0.3, ("ii", "u"): 0.3, ("li", "h"): 0.4, ("fi", "h"): 0.4,
+    ("l", "1"): 0.1, ("1", "l"): 0.1, ("I", "l"): 0.1, ("l", "I"): 0.1, ("O", "0"): 0.1, ("0", "O"): 0.1, ("S", "5"): 0.2, ("5", "S"): 0.2, ("Z", "2"): 0.3, ("B", "8"): 0.3, ("e", "c"): 0.4, ("a", "o"): 0.4, ("u", "n"): 0.3, ("h", "b"): 0.4,
+    (".", ""): 0.1, (",", ""): 0.1, ("'", ""): 0.1, ("-", ""): 0.1, (" ", ""): 0.2,
+}
+#: Cost of a change of case alone.
+CASE = 0.1
+_COST = {(b, a): c for (a, b), c in CONFUSIONS.items()} | CONFUSIONS
+
+
+def reading_cost(a: str, b: str) -> float:
+    """Cost of reading a for b, either way round; 1 a letter where nothing is known of them."""
+    if a == b:
+        return 0.0
+    known = _COST.get((a, b))
+    if known is not None:
+        return known
+    if len(a) == len(b) == 1:
+        if a.lower() == b.lower():
+            return CASE
+        return min(1.0, CASE + min((_COST.get((x, y), 1.0) for x in {a.lower(), a.upper()} for y in {b.lower(), b.upper()}), default=1.0))
+    return float(max(len(a), len(b)))
 
 
 @lru_cache(maxsize=100_000)
 def ocr_distance(a: str, b: str) -> float:
-    """Edit distance in which readings that scans confuse cost less, pairs of letters included."""
+    """Edit distance in which readings that scans confuse cost less, pairs of letters, case and lost signs included."""
     rows = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) + 1):
         for j in range(len(b) + 1):
-            if not i or not j:
-                rows[i][j] = float(i + j)
+            if not i and not j:
                 continue
-            best = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (0 if a[i - 1] == b[j - 1] else _COST.get((a[i - 1], b[j - 1]), 1.0)))
-            if i > 1:
-                best = min(best, rows[i - 2][j - 1] + _COST.get((a[i - 2 : i], b[j - 1]), 2.0))
-            if j > 1:
-                best = min(best, rows[i - 1][j - 2] + _COST.get((a[i - 1], b[j - 2 : j]), 2.0))
-            rows[i][j] = best
+            options = []
+            if i:
+                options.append(rows[i - 1][j] + _COST.get((a[i - 1], ""), 1.0))
+            if j:
+                options.append(rows[i][j - 1] + _COST.get((b[j - 1], ""), 1.0))
+            if i and j:
+                options.append(rows[i - 1][j - 1] + reading_cost(a[i - 1], b[j - 1]))
+            if i > 1 and j:
+                options.append(rows[i - 2][j - 1] + _COST.get((a[i - 2 : i], b[j - 1]), 2.0))
+            if j > 1 and i:
+                options.append(rows[i - 1][j - 2] + _COST.get((a[i - 1], b[j - 2 : j]), 2.0))
+            rows[i][j] = min(options)
     return rows[-1][-1]
 
 
+def normalized_ocr_distance(a: str, b: str) -> float:
+    """The distance over the longer string's length: 0 for equal and empty strings, at most 1."""
+    return min(1.0, ocr_distance(a, b) / max(len(a), len(b))) if a or b else 0.0
+
+
 @F.pandas_udf(DoubleType())
 def ocr_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else round(ocr_distance(x, y), 6) for x, y in zip(a, b)])
 
 
+@F.pandas_udf(DoubleType())
+def normalized_ocr_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else round(normalized_ocr_distance(x, y), 6) for x, y in zip(a, b)])
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching blocks of two strings, for pairs that blocking has left."""

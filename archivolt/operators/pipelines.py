@@ -59,22 +59,28 @@ def majority(df: DataFrame, key: str, value: str) -> DataFrame:
     return n.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(value))).alias("b")).select(key, F.col(f"b.{value}").alias(value), (-F.col("b.n")).alias("n"))
 
 
-def alias_matches(chunks: DataFrame, aliases: DataFrame, body: Column, longest: int | None = None) -> DataFrame:
-    """chunk_id, alias, start (word from 1), words: dictionary names in texts, the longest at a place, none inside another.
+def alias_hits(chunks: DataFrame, aliases: DataFrame, body: Column) -> DataFrame:
+    """chunk_id, start (word from 1), n (words), alias: all occurrences of dictionary names in texts, those inside others too.
 
     Word n-grams are joined to the dictionary by equality, whatever its size; they
-    are made in the lengths its names have, up to ``longest`` words where given.
-    ``aliases`` has alias (folded). Overlaps are settled leftmost-longest among
-    the few hits of a chunk.
+    are made in the lengths its names have. ``aliases`` has alias (folded).
     """
     w = chunks.select("chunk_id", T.tokens(body).alias("words"))
     lengths = aliases.agg(F.sort_array(F.collect_set(F.size(F.split("alias", " "))))).first()[0]
-    sizes = F.array(*(F.lit(n) for n in lengths if longest is None or n <= longest)).cast("array<int>")
+    sizes = F.array(*(F.lit(n) for n in lengths)).cast("array<int>")
     one = lambda i: F.transform(sizes, lambda n: F.when(i + n - 1 <= F.size("words"), F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice("words", i, n), " ").alias("alias"))))
     starts = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words")))
     # the words themselves aren't carried into the exploded rows
     grams = w.select("chunk_id", F.inline(F.filter(F.flatten(F.transform(starts, one)), lambda g: g.isNotNull())))
-    hits = grams.join(aliases.select("alias").distinct(), "alias")
+    return grams.join(aliases.select("alias").distinct(), "alias")
+
+
+def alias_matches(chunks: DataFrame, aliases: DataFrame, body: Column) -> DataFrame:
+    """chunk_id, alias, start (word from 1), words: dictionary names in texts, the longest at a place, none inside another.
+
+    Overlaps are settled leftmost-longest among the few hits of a chunk.
+    """
+    hits = alias_hits(chunks, aliases, body)
     kept = hits.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("n")).alias("m"), "alias"))).alias("hits"))
     zero = F.struct(F.array().cast("array<struct<start:int,m:int,alias:string>>").alias("kept"), F.lit(0).alias("end"))
     fold = F.aggregate("hits", zero, lambda a, h: F.when(h["start"] > a["end"], F.struct(F.concat(a["kept"], F.array(h)).alias("kept"), (h["start"] - h["m"] - 1).alias("end"))).otherwise(a), lambda a: a["kept"])

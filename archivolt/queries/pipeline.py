@@ -97,8 +97,8 @@ _add(
 )
 _add(
     "alias_frequency",
-    lambda s, d: L.alias_matches(t(s, d, "chunks"), _aliases(s, d).where("instr(alias, ' ') = 0"), R.body(), 1).join(t(s, d, "chunks").select("chunk_id", "document_id"), "chunk_id").groupBy("alias", "document_id").agg(F.countDistinct("chunk_id").alias("df_chunks")),
-    rf"with {_ALIAS}, w as (select distinct chunk_id, document_id, unnest({words_sql('coalesce(clean_text, text)')}) word from chunks) select b alias, document_id, count(*) df_chunks from w join al on b = word where not contains(b, ' ') group by 1, 2",
+    lambda s, d: L.alias_hits(t(s, d, "chunks"), _aliases(s, d), R.body()).select("chunk_id", "alias").distinct().join(t(s, d, "chunks").select("chunk_id", "document_id"), "chunk_id").groupBy("alias", "document_id").agg(F.count(F.lit(1)).alias("df_chunks")),
+    rf"with {_ALIAS}, w as (select chunk_id, document_id, ' ' || array_to_string({words_sql('coalesce(clean_text, text)')}, ' ') || ' ' body from chunks) select b alias, document_id, count(*) df_chunks from w join al on contains(body, ' ' || b || ' ') where regexp_full_match(b, '[\p{{L}}\p{{N}}_]+( [\p{{L}}\p{{N}}_]+)*') group by 1, 2",
 )
 _OVER = [("edward logrilasek", None, None, None, True), ("ibid", None, None, None, True), ("the said", 74, 99, None, False), ("the said", None, 98, None, False), ("page two", None, None, 1, False)]
 
@@ -120,7 +120,11 @@ select surface, scope_id, coalesce(forced, entity_id)::bigint entity_id, case wh
 )
 
 # texts to relations
-_add("pack_paragraphs", lambda s, d: L.packed(t(s, d, "documents").where("text is not null"), "doc_id", "text", 1000).select("doc_id", *_big("ordinal"), F.length("text").cast("bigint").alias("n_chars")))
+_PACK = r"""with recursive p as (select doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x, ' ')), lambda x: x <> '') p from documents where text is not null),
+w as (select doc_id, p, 1 i, 0 ordinal, length(p[1]) n from p where length(p) > 0
+  union all select doc_id, p, i + 1, case when n + length(p[i + 1]) + 2 <= 1000 then ordinal else ordinal + 1 end, case when n + length(p[i + 1]) + 2 <= 1000 then n + length(p[i + 1]) + 2 else length(p[i + 1]) end from w where i < length(p))
+select doc_id, ordinal::bigint ordinal, max(n)::bigint n_chars from w group by 1, 2"""
+_add("pack_paragraphs", lambda s, d: L.packed(t(s, d, "documents").where("text is not null"), "doc_id", "text", 1000).select("doc_id", *_big("ordinal"), F.length("text").cast("bigint").alias("n_chars")), _PACK)
 _TURN = r"with l as (select doc_id, i n, p[i] line from (select doc_id, string_split(text, chr(10)) p from documents where text is not null), lateral (select unnest(range(1, length(p) + 1)) i)), s as (select *, regexp_extract(line, '^((?:The CHAIRMAN|Q|A|(?:Mr|Mrs|Dr|Col|Senator)\.? [A-Z][a-z]+))\. ', 1) speaker from l), u as (select *, sum((speaker <> '')::int) over (partition by doc_id order by n) turn from s), tt as (select doc_id, turn::bigint turn, max(speaker) speaker, count(*) n_lines, string_agg(line, chr(10) order by n) text from u where turn > 0 group by 1, 2)"
 _turns = lambda s, d: L.turns(t(s, d, "documents").where("text is not null"), "doc_id", "text")
 _add("transcript_turns", _turns, f"{_TURN} select * from tt")
@@ -132,16 +136,18 @@ _add(
     "event_runs", lambda s, d: L.islands(t(s, d, "events"), "user_id", ["ts", "event_id"], "event_type"),
     "with n as (select *, row_number() over w n, case when lag(event_type) over w = event_type then 0 else 1 end c from events window w as (partition by user_id order by ts, event_id)), r as (select *, sum(c) over (partition by user_id order by n) run from n) select user_id, run::bigint run, event_type, min(n) first_row, max(n) last_row, count(*) length from r group by 1, 2, 3",
 )
-_M = "'January','February','March','April','May','June','July','August','September','October','November','December'"
-_MM = "January|February|March|April|May|June|July|August|September|October|November|December"
-_dm = lambda p: f"select distinct doc_id, unnest(regexp_extract_all(text, '{p}', 1)) surface from documents where text is not null"
+_FORM = "case " + " ".join(f"when regexp_full_match(surface, '{p}') then '{n}'" for p, n, _ in D.FORMS) + " end"
+_SURE = "case form " + " ".join(f"when '{n}' then {c}" for _, n, c in D.FORMS) + " end"
+_ymd = lambda y, m, d: f"try_strptime(printf('%04d-%02d-%02d', {y}, {m}, {d}), '%Y-%m-%d')::date"
+_full = "case when n3 < 100 then n3 + 1900 else n3 end"
 _add(
     "date_mentions", lambda s, d: D.date_mentions(t(s, d, "documents").where("text is not null"), "doc_id", "text"),
-    rf"""with p as (select doc_id, surface, try_strptime(surface, '%-d %B %Y') s, 'day' as "precision", 0.95 confidence from ({_dm(rf'(\d{{1,2}} (?:{_MM}) \d{{4}})')})
-union all select doc_id, surface, try_strptime(surface, '%B %-d, %Y'), 'day', 0.95 from ({_dm(rf'((?:{_MM}) \d{{1,2}}, \d{{4}})')})
-union all select doc_id, surface, try_strptime(regexp_replace(surface, '(\d\d)$', '19\1'), '%-d.%-m.%Y'), 'day', 0.7 from ({_dm(r'(?:^|[^\d.])(\d{1,2}\.\d{1,2}\.\d{2})(?:[^\d]|$)')})
-union all select doc_id, surface, try_strptime(surface, '%B %Y'), 'month', 0.8 from ({_dm(rf'(?:^|[^\d] |[^\d ])((?:{_MM}) \d{{4}})')}))
-select doc_id, surface, s::date date_start, case "precision" when 'month' then last_day(s::date) else s::date end date_end, "precision", confidence from p where s is not null""",
+    rf"""with e as (select distinct doc_id, unnest(regexp_extract_all(text, '{D.ANY}', 1)) surface from documents where text is not null),
+n as (select *, {_FORM} form, list_transform(regexp_extract_all(surface, '(\d+)', 1), lambda x: x::int) k, (instr('{D.SHORT}', lower(left(regexp_extract(surface, '([A-Z][a-z]+)', 1), 3))) + 2) // 3 m from e),
+x as (select *, k[1] n1, k[2] n2, k[3] n3 from n),
+y as (select *, case when form in ('range', 'year') then {_ymd('n1', 1, 1)} when form = 'iso' then {_ymd('n1', 'n2', 'n3')} when form in ('day first', 'month first') then {_ymd('n2', 'm', 'n1')} when form = 'slashes' then {_ymd(_full, 'n1', 'n2')} when form = 'dots' then {_ymd(_full, 'n2', 'n1')} else {_ymd('n1', 'm', 1)} end date_start from x),
+z as (select *, case form when 'range' then {_ymd('n2', 12, 31)} when 'year' then {_ymd('n1', 12, 31)} when 'month' then last_day(date_start) else date_start end date_end from y)
+select doc_id, surface, date_start, date_end, case when form in ('range', 'year', 'month') then form else 'day' end "precision", ({_SURE})::double confidence from z where date_start is not null and date_end >= date_start""",
 )
 _add("chunk_pages", lambda s, d: L.chunk_pages(t(s, d, "chunks"), t(s, d, "pages")).select("chunk_id", "page_id", *_big("span_order")), "select c.chunk_id, p.page_id, (p.page_seq - least(a.page_seq, b.page_seq) + 1)::bigint span_order from chunks c join pages a on a.page_id = c.first_page_id join pages b on b.page_id = coalesce(c.last_page_id, c.first_page_id) join pages p on p.document_id = a.document_id and p.page_seq between least(a.page_seq, b.page_seq) and greatest(a.page_seq, b.page_seq)")
 _CP = "cp as (select c.chunk_id, p.page_id, p.page_seq - least(a.page_seq, b.page_seq) + 1 o from chunks c join pages a on a.page_id = c.first_page_id join pages b on b.page_id = coalesce(c.last_page_id, c.first_page_id) join pages p on p.document_id = a.document_id and p.page_seq between least(a.page_seq, b.page_seq) and greatest(a.page_seq, b.page_seq))"
@@ -221,8 +227,10 @@ def diverse_selection(s, d):
 _add("diverse_selection", diverse_selection)
 
 # evidence
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(coalesce(clean_text, text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+_SPANS = f"select chunk_id, i - 1 sentence, length(list_intersect(list_distinct({words_sql('s[i]')}), ['cipher', 'embassy']))::bigint n_hits, sha256({SURFACE.format(x='s[i]')}) span_hash from (select chunk_id, {_SENT} s from chunks), lateral (select unnest(range(1, length(s) + 1)) i) where length(list_intersect({words_sql('s[i]')}, ['cipher', 'embassy'])) > 0"
 _spans = lambda s, d: E.spans(t(s, d, "chunks").select("chunk_id", "document_id", R.body().alias("body")), "chunk_id", "body", ["cipher", "embassy"])
-_add("evidence_spans", lambda s, d: _spans(s, d).select("chunk_id", *_big("sentence"), "n_hits", "span_hash"))
+_add("evidence_spans", lambda s, d: _spans(s, d).select("chunk_id", *_big("sentence"), "n_hits", "span_hash"), _SPANS)
 _add("claims", lambda s, d: E.co_mention_claims(t(s, d, "mention_candidates"), 2), "with m as (select distinct chunk_id, surface_norm s from mention_candidates where surface_norm is not null and chunk_id is not null) select a.s subject, b.s object, sha1(a.s || '|' || b.s) claim_id, count(*) support from m a join m b on a.chunk_id = b.chunk_id and a.s < b.s group by 1, 2 having count(*) >= 2")
 _add(
     "claim_grounding", lambda s, d: E.grounded(E.co_mention_claims(t(s, d, "mention_candidates"), 2), t(s, d, "mention_candidates"), t(s, d, "chunks").select("chunk_id", R.body().alias("body"))),
