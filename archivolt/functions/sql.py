@@ -33,3 +33,14 @@ def register(spark: SparkSession, folder: str, names: list[str] | None = None) -
         spark.sql(f"create or replace temporary function {name}({args}) returns {kind} return {body}")
     for name, body in VIEWS.items():
         spark.sql(f"create or replace temporary view {name} as {body}")
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """SQL table functions with a parameter, over the registered views."""
+    spark.sql(
+        """create or replace temporary function top_surfaces(most int) returns table (surface_norm string, n_mentions bigint, n_docs bigint)
+        return select surface_norm, n_mentions, n_docs from (
+          select surface_norm, count(*) as n_mentions, count(distinct document_id) as n_docs, row_number() over (order by count(*) desc, surface_norm) as place
+          from mention_candidates where surface_norm is not null group by surface_norm)
+        where place <= top_surfaces.most"""
+    )

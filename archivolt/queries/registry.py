@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from archivolt.queries import index, more, p1, pipeline, search, text
+from archivolt.queries import extra, index, more, p1, pipeline, search, text
 
-MODULES = (p1, text, index, search, pipeline, more)
+MODULES = (p1, text, index, search, pipeline, more, extra)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from archivolt.catalog import table
 from archivolt.functions import scores as S
 from archivolt.functions import text as T
-from archivolt.functions.distance import ocr_edit_distance, sequence_ratio
+from archivolt.functions.distance import normalized_ocr_edit_distance, ocr_edit_distance, sequence_ratio
+from archivolt.operators.pipelines import trigram_join
 
 WORDS = r"list_filter(string_split_regex(lower({x}), '[^\p{{L}}\p{{N}}_]+'), lambda t: t <> '')"
 SURFACE = r"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
@@ -79,10 +80,10 @@ def text_contexts(spark, d):
 
 
 def text_ocr_distance(spark, d):
-    """Surfaces that share their last word, compared two by two."""
-    names = _names(spark, d).select("surface_norm", T.surname("surface_norm").alias("last")).distinct().where("length(last) > 3")
-    pairs = names.alias("x").join(names.alias("y"), "last").where("x.surface_norm < y.surface_norm").select(F.col("x.surface_norm").alias("a"), F.col("y.surface_norm").alias("b"))
-    return pairs.select("a", "b", ocr_edit_distance("a", "b").alias("ocr_distance"), sequence_ratio("a", "b").alias("ratio"))
+    """Surfaces that share half their trigrams, compared two by two."""
+    names = table(spark, d, "mention_candidates").select("surface_norm").where("surface_norm <> ''").distinct()
+    pairs = trigram_join(names, names, "surface_norm", "surface_norm", 0.5).where("a < b")
+    return pairs.select("a", "b", ocr_edit_distance("a", "b").alias("ocr_distance"), normalized_ocr_edit_distance("a", "b").alias("normalized"), sequence_ratio("a", "b").alias("ratio"))
 
 
 def text_scores(spark, d):
