@@ -52,8 +52,9 @@ def spans(hits: DataFrame, pages: DataFrame) -> DataFrame:
     inside = apart.join(place, "doc").where("page_seq between lo and hi")
     far = inside.groupBy(*key).agg(F.sum("size").alias("size")).where(F.col("size") > LIMIT).select(*key)
     over = over.unionByName(inside.join(far, key, "left_semi").select(*key, "doc", "n"))
-    texts = place.select("page_id", "doc", "n").join(pages.select("page_id", F.coalesce("raw_text", F.lit("")).alias("t")), "page_id")
-    whole = over.join(texts, ["doc", "n"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("pages"))
+    wanted = over.join(place.select("page_id", "doc", "n"), ["doc", "n"]).select(*key, "n", "page_id")
+    texts = wanted.join(pages.select("page_id", F.coalesce("raw_text", F.lit("")).alias("t")), "page_id")
+    whole = texts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("pages"))
     ends = F.aggregate("pages", F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(p["t"]))))
     return whole.select("item_id", F.array_join(F.transform("pages", lambda p: p["t"]), "").alias("text"), ends.alias("bounds"))
 
