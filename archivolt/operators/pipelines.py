@@ -192,6 +192,13 @@ def boilerplate(pages: DataFrame, edge: int = 4, share: float = 0.3, least: int
     return often.join(total, "document_id").where((F.col("n") >= least) & (F.col("n_pages") >= share * F.col("n"))).select("document_id", "line", "n_pages")
 
 
+def without_boilerplate(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """page_id, text: pages without the lines that are their document's boilerplate (document_id, line); blank lines stay."""
+    own = lines.groupBy("document_id").agg(F.collect_set("line").alias("__b"))  # at most the edge lines of a document that a share of its pages has
+    kept = F.filter(F.split("raw_text", "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.coalesce("__b", F.array().cast("array<string>")), F.trim(x)))
+    return pages.where("raw_text is not null").join(own, "document_id", "left").select("page_id", F.array_join(kept, "\n").alias("text"))
+
+
 def diverse(df: DataFrame, group: str, score: str, traits: dict[str, float], n: int = 10, pool: int = 5000) -> DataFrame:
     """Greedy choice of n rows per group, each step the best score less a penalty for every earlier row that shares a trait.
 

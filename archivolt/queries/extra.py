@@ -6,17 +6,27 @@ from pyspark.sql import functions as F
 
 from archivolt import model
 from archivolt.catalog import table as t
+from archivolt.engine import Engine
+from archivolt.functions import dates as D
 from archivolt.functions import sql as registered
 from archivolt.functions import text as T
 from archivolt.operators import chunking as C
+from archivolt.operators import evidence as E
 from archivolt.operators import lanes as N
+from archivolt.operators import mentions as M
 from archivolt.operators import pipelines as L
+from archivolt.operators import resolution as Z
 from archivolt.operators import retrieval as R
 from archivolt.operators import review as V
+from archivolt.plans.primitives import patch
+from archivolt.plans.primitives import primitive as P
 from archivolt.queries.index import A, PLACE
-from archivolt.queries.pipeline import _ALIAS, _SELF, _TURN, _aliases, _names, _surfaces, _turns
+from archivolt.queries.pipeline import _ALIAS, _SELF, _SPANS, _TURN, _aliases, _names, _surfaces, _turns
+from archivolt.queries.pipeline import SQL as SQL_OF
 from archivolt.queries.search import _ANY, _LEX, _SCORE, TERMS, _any
-from archivolt.queries.text import words_sql
+from archivolt.queries.text import SURFACE, words_sql
+from archivolt.shared import scratch
+from archivolt.sources import io
 
 QUERIES, SQL = {}, {}
 BODY = "coalesce(clean_text, text)"
@@ -88,3 +98,81 @@ def table_functions(s, d):
 
 
 _add("table_functions", table_functions, "select surface_norm, count(*) n_mentions, count(distinct document_id) n_docs from mention_candidates where surface_norm is not null group by 1 order by 2 desc, 1 limit 25")
+
+
+# operators on small settings, samples and logs
+
+
+def inline_relation(s, d):
+    """A client's list of ids, in its order, with what the chunks say of them."""
+    return io.relation(s, [12, 3, 12, 999_999_999], "chunk_id", "bigint").join(t(s, d, "chunks").select("chunk_id", "document_id"), "chunk_id", "left").select(*_big("ord"), "chunk_id", "document_id")
+
+
+_add("inline_relation", inline_relation, "select o::bigint ord, v.chunk_id, document_id from (values (0, 12), (1, 3), (2, 12), (3, 999999999)) v(o, chunk_id) left join chunks using (chunk_id)")
+
+
+def run_log(s, d):
+    path = scratch(s, "log")
+    for n, settings in enumerate(({"k": 5, "a": 1}, {"k": 7})):
+        io.append_log(s, path, [{"run": n, "settings": settings}], "run bigint, settings string")
+    return s.read.parquet(path)
+
+
+_add("run_log", run_log, """select * from (values (0::bigint, '{"a": 1, "k": 5}'), (1::bigint, '{"k": 7}')) v(run, settings)""")
+
+
+def snapshot(s, d):
+    path = scratch(s, "snapshot")
+    io.write_snapshot(io.junction(t(s, d, "result_sets")).select("result_set_id", "chunk_id"), path)
+    return s.read.parquet(path)
+
+
+_add("snapshot", snapshot, "select distinct result_set_id, chunk_id from (select result_set_id, unnest(chunk_ids) chunk_id from result_sets) where chunk_id is not null")
+_add("sample_ends", lambda s, d: io.head_tail_random(t(s, d, "chunks").select("chunk_id"), "chunk_id", 30).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk_id").alias("n_ids"), F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last")), "select least(30, n) n, least(30, n) n_ids, a as \"first\", b as \"last\" from (select count(*) n, min(chunk_id) a, max(chunk_id) b from chunks)")
+_add("sample_share", lambda s, d: io.sample_share(t(s, d, "chunks").select("chunk_id"), 25).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chunk_id").alias("n_ids")), "select least(25, count(*)) n, least(25, count(*)) n_ids from chunks")
+_add(
+    "one_metadata_row", lambda s, d: M.one_metadata(t(s, d, "page_metadata").distinct().select(F.col("page_id").alias("chunk_id"), "page_metadata_id", "pipeline_version", F.struct("extracted_at", "page_metadata_id").alias("newest")), "pipeline_version", "meta_v2", "newest").select(F.col("chunk_id").alias("page_id"), "page_metadata_id"),
+    "select page_id, page_metadata_id from (select distinct * from page_metadata) qualify row_number() over (partition by page_id order by coalesce((pipeline_version = 'meta_v2')::int, -1) desc, extracted_at desc nulls last, page_metadata_id desc) = 1",
+)
+
+# evidence
+_ev = lambda s, d: E.spans(t(s, d, "chunks").select("chunk_id", R.body().alias("body")), "chunk_id", "body", ["cipher", "embassy"]).groupBy("span_hash").agg(F.max("n_hits").alias("n_hits"), F.count(F.lit(1)).alias("n"))
+_EV = f"ev as (select span_hash, max(n_hits) n_hits, count(*) n from ({_SPANS}) group by 1)"
+_add("span_bands", lambda s, d: E.banded(_ev(s, d), F.col("n_hits") + F.col("n") / 100, 5, 15).select("span_hash", "band", *_big("place")), f"with {_EV}, r as (select span_hash, row_number() over (order by n_hits + n / 100 desc, span_hash) place from ev) select span_hash, case when place <= 5 then 'cite' else 'harvest' end band, place from r where place <= 20")
+_add("evidence_store", lambda s, d: E.kept(_ev(s, d).where("n_hits = 1").withColumn("score", F.col("n").cast("double")), _ev(s, d).withColumn("score", F.col("n_hits").cast("double")), "span_hash", "score", 30), f"with {_EV} select span_hash, max(score) score from (select span_hash, n::double score from ev where n_hits = 1 union all select span_hash, n_hits::double from ev) group by 1 order by 2 desc, 1 limit 30")
+
+
+def uncited_claims(s, d):
+    claims = E.co_mention_claims(t(s, d, "mention_candidates"), 2)
+    refs = E.grounded(claims, t(s, d, "mention_candidates"), t(s, d, "chunks").select("chunk_id", R.body().alias("body"))).where("n_attested > 0")
+    return E.uncited(claims, refs).select("claim_id", "support")
+
+
+_add("uncited_claims", uncited_claims, SQL_OF["claim_grounding"].rsplit("select claim_id, count(*) n_refs", 1)[0].replace("c as (select", "c0 as (select a.s || '|' || b.s k, count(*) support from m a join m b on a.chunk_id = b.chunk_id and a.s < b.s group by 1 having count(*) >= 2), c as (select", 1) + f", g as (select claim_id from r join chunks using (chunk_id) where contains({SURFACE.format(x=BODY)}, subject) and contains({SURFACE.format(x=BODY)}, object)) select sha1(k) claim_id, support from c0 where sha1(k) not in (select claim_id from g)")
+_add("reached", lambda s, d: E.expanded_until_stable(t(s, d, "nation").select(F.col("n_regionkey").alias("k")).where("k < 2"), t(s, d, "nation").select(F.col("n_regionkey").alias("k"), (F.col("n_nationkey") % 5).alias("other")), "k", 10), "with recursive e as (select n_regionkey k, n_nationkey % 5 o from nation), w(k) as (select distinct n_regionkey from nation where n_regionkey < 2 union select e.o from w join e using (k)) select distinct k from w")
+_DECIDED = [(0, "merge", 7), (1, "block", None), (2, "new", None)]
+
+
+def adjudicated(s, d):
+    variants = _names(s, d).select(F.col("surface_norm").alias("member"), F.pmod(F.length("surface_norm"), F.lit(4)).cast("int").alias("cluster"))
+    allowed, blocked, new = Z.adjudicated(s.createDataFrame(_DECIDED, "cluster int, action string, entity_id bigint"), variants)
+    return allowed.select("member", "entity_id", F.lit("merge").alias("action")).unionByName(blocked.select("member", F.lit(None).cast("bigint").alias("entity_id"), F.lit("block").alias("action")))
+
+
+_add("adjudicated", adjudicated, "with n as (select distinct surface_norm m from mention_candidates where surface_norm <> '') select m as \"member\", case when length(m) % 4 = 0 then 7::bigint end entity_id, case when length(m) % 4 = 0 then 'merge' else 'block' end \"action\" from n where length(m) % 4 in (0, 1)")
+_PLAN = [P("TERM", value="cipher"), P("FILTER_COLLECTION", slug="hearings")]
+_add("plan_patched", lambda s, d: Engine(s, d).run(patch(_PLAN, remove={"type": "FILTER_COLLECTION"}, add=[P("EXCLUDE_TERM", value="hotel")], replace=[({"type": "TERM", "value": "cipher"}, P("TERM", value="embassy"))])).select("chunk_id"), f"select chunk_id from (select chunk_id, {words_sql(BODY)} w from chunks) where list_contains(w, 'embassy') and not list_contains(w, 'hotel')")
+_add("scope_within_country", lambda s, d: Engine(s, d).run([P("WITHIN_COUNTRY", country="nation_3"), P("FILTER_COLLECTION", slug="BUILDING")]).select("chunk_id"), f"with {model.SQL} select chunk_id from meta where collection_slug = 'BUILDING' and chunk_id in (select chunk_id from mentions join entities using (entity_id) where country ilike 'nation_3')")
+_add("boilerplate_removed", lambda s, d: L.without_boilerplate(t(s, d, "pages"), L.boilerplate(t(s, d, "pages"))).select("page_id", F.length("text").cast("bigint").alias("n_chars")), SQL_OF["boilerplate_lines"].rsplit("select document_id, line, n_pages", 1)[0] + ", b as (select document_id, line from x join n using (document_id) where n >= 3 and n_pages >= 0.3 * n), k as (select p.page_id, length(array_to_string(list_filter(string_split(raw_text, chr(10)), lambda v: trim(v, ' ') = '' or not list_contains(coalesce(bb, []), trim(v, ' '))), chr(10))) n from pages p left join (select document_id, list(line) bb from b group by 1) q on q.document_id = p.document_id where raw_text is not null) select page_id, n::bigint n_chars from k")
+
+
+def relative_dates(s, d):
+    """Phrases of questions as ranges of days, told from a fixed day."""
+    from datetime import date
+
+    phrases = ["last month", "3 years ago", "before 1944", "the 1940s", "May 1944", "1950", "since 1941"]
+    rows = [(p, *D.relative_range(p, date(1955, 3, 31))) for p in phrases]
+    return s.createDataFrame(rows, "phrase string, lo date, hi date")
+
+
+_add("relative_dates", relative_dates, "select phrase, lo::date lo, hi::date hi from (values ('last month', '1955-02-01', '1955-02-28'), ('3 years ago', '1952-03-01', '1952-03-31'), ('before 1944', null, '1943-12-31'), ('the 1940s', '1940-01-01', '1949-12-31'), ('May 1944', '1944-05-01', '1944-05-31'), ('1950', '1950-01-01', '1950-12-31'), ('since 1941', '1941-01-01', null)) v(phrase, lo, hi)")
