@@ -18,6 +18,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -153,7 +154,9 @@ class Scorer:
         text = plain(text)
         if self.fuzzy and SPACED.search(text):
             text = SPACED.sub(self._unspaced, text)
-        raw = text.split()
+        lines = [line.split() for line in text.split("\n")]
+        raw = [token for line in lines for token in line]
+        starts = set(accumulate(map(len, lines), initial=0))
         read = [self.read(token) for token in raw]
         sexual: list[int] = []
         for i, r in enumerate(read):
@@ -176,7 +179,7 @@ class Scorer:
                     if wrong is not None:
                         innocent = self._window(read, raw, i)[1]
                         self._put(got, category, score - ERROR * (wrong + errors) - 0.3 * min(innocent, 2), read, raw, i)
-                if role == "kill" and (i == 0 or STOP.search(raw[i - 1])):
+                if role == "kill" and (i in starts or STOP.search(raw[i - 1])):
                     for category, score, steps in self.patterns.get("^", ()):
                         wrong = self._pattern(read, raw, i, steps[1:])
                         if wrong is not None:

@@ -60,6 +60,7 @@ ROLES = {
     "will": "will i'll we'll shall going gonna want ought should must somebody someone better would werde wird wirst werden vais va allons voy vas vamos hay faut надо",
     "we": "we we'll let us i i'll wir nous nosotros мы",
     "group": "they them these those people everyone foreigners immigrants all lot race tribe les sie alle los todos всех их они",
+    "such_a_group": "этих тех diesen ces estos esos",
     "ought": "should must ought deserve deserves need gehören sollten faut hay надо нужно",
     "be": "be to get",
     "are": "are is sind sont son we're they're",
@@ -77,7 +78,7 @@ ROLES = {
     "not": "not no never nie nicht pas",
     "human": "human humans people menschen humains humanos люди",
 }
-#: (category, score, roles with the words that may stand before the next one). ``^`` starts a sentence; ``the`` is any word of a group.
+#: (category, score, roles with the words that may stand before the next one). ``^`` starts a sentence or a line; ``the`` is any word of a group.
 PATTERNS = (
     ("threat", 0.95, "will 4 kill 3 you"),
     ("threat", 0.95, "will 3 hurt 0 exactly_you"),
@@ -88,6 +89,7 @@ PATTERNS = (
     ("threat", 0.95, "will 2 exactly_you 3 kill"),
     ("threat", 0.95, "exactly_you 1 will 2 kill"),
     ("threat", 0.90, "will 2 exactly_you 4 hurt"),
+    ("threat", 0.95, "exactly_you 1 will 2 hurt 2 body"),
     ("threat", 0.90, "exactly_you 0 hurt 3 body"),
     ("threat", 0.90, "body 1 will 2 hurt"),
     ("threat", 0.95, "myself 2 exactly_you"),
@@ -102,6 +104,7 @@ PATTERNS = (
     ("hate", 0.90, "ought 1 killed"),
     ("hate", 0.90, "ought 2 kill 2 group"),
     ("hate", 0.90, "ought 1 group 1 kill"),
+    ("hate", 0.90, "such_a_group 4 ought 1 kill"),
     ("hate", 0.90, "group 1 kill"),
     ("hate", 0.90, "kill 0 group 1 group"),
     ("hate", 0.95, "^ 0 kill 3 before 2 breed"),
