@@ -117,7 +117,7 @@ def parse(name: str) -> tuple[str, str, str, str, str] | None:
     if kinds and len(words) > 1:
         acts = [a[0] for w in words if not _look_up(w, 1) and (a := _look_up(w, 2))]
         own = [w for w in words if not _look_up(w, 1) and not _look_up(w, 2) and w not in terms.FILLERS and w not in terms.PARTICLES and w not in terms.TITLES]
-        if own and not all(map(_ordinary, own)):
+        if own and not all(w in _common() or len(w) < 3 for w in own):
             return "o", " ".join(sorted(map(sound, own))), kinds[0], acts[0] if acts else "", ""
         return None
     titled = any(w in terms.TITLES for w in words)
@@ -216,7 +216,7 @@ def entities(names: DataFrame, column: str = "name") -> DataFrame:
     start = F.when(person, F.left(initials, F.when(F.length(initials) > 2, 3).otherwise(1))).otherwise(F.concat("main", F.lit(" ")))
     told = own.withColumn("start", start).withColumn("tier", F.when(is_whole, "1").when(F.col("start") != "", "2").otherwise("3"))
     trait = F.when(F.col("tier") == "1", F.when(person, F.col("main")).otherwise(F.concat_ws(" ", "main", "more"))).when(F.col("tier") == "2", F.when(person, F.left("start", F.lit(1))).otherwise(F.col("start"))).otherwise("")
-    told = cut(told.withColumn("trait", trait).withColumn("node", F.concat_ws("|", "tier", "key", "trait")).select("name", "key", "start", "tier", "trait", "node"))
+    told = cut(told.withColumn("trait", trait).withColumn("node", F.concat_ws("|", "tier", "key", "trait")).withColumn("free", (F.col("words") != "").cast("int")).select("name", "key", "start", "tier", "trait", "node", "free"))
     nodes = told.select("tier", "key", "trait", "node").distinct()
     ends = nodes.select("tier", "trait", F.col("key").alias("b"), F.col("node").alias("other"))
     edges = nodes.join(reach, F.col("key") == F.col("a")).join(ends, ["tier", "trait", "b"]).select("node", "other")
@@ -226,11 +226,12 @@ def entities(names: DataFrame, column: str = "name") -> DataFrame:
         at = told.select("name", "node")
         found = permuted(free).join(at.withColumnRenamed("name", "a"), "a").join(at.select(F.col("name").alias("b"), F.col("node").alias("other")), "b")
         edges = edges.unionByName(found.select("node", "other").distinct())
-    known = cut(told.join(components(edges, "node", "other"), "node").select("name", "key", "start", "tier", "trait", F.col("component").alias("bearer")))
+    known = cut(told.join(components(edges, "node", "other"), "node").select("name", "key", "start", "tier", "trait", "free", F.col("component").alias("bearer")))
 
     def attach(part: DataFrame, to: DataFrame, fits) -> DataFrame:
-        """name, bearer where one bearer alone fits, the nearest spelling of the surname first."""
-        options = part.select("name", "key", "start").join(reach, F.col("key") == F.col("a")).join(to.select(F.col("key").alias("b"), "trait", "bearer").distinct(), "b").where(fits)
+        """name, bearer where one bearer alone fits, the nearest spelling of the surname first, then those with a listed given name."""
+        options = part.select("name", "key", "start").join(reach, F.col("key") == F.col("a")).join(to.select(F.col("key").alias("b"), "trait", "bearer", "free").distinct(), "b").where(fits)
+        options = options.withColumn("distance", F.col("distance") * 2 + F.col("free"))
         first = options.withColumn("d", F.min("distance").over(Window.partitionBy("name"))).where("distance = d")
         return first.groupBy("name").agg(F.min("bearer").alias("bearer"), F.max("bearer").alias("other")).where("bearer = other").select("name", "bearer")
 
