@@ -32,7 +32,7 @@ TRAINING_PAGES = 4000
 EDGE = 5
 LONGEST = 90
 #: Of these, the pages whose edges the model of furniture is trained on, about, and its rounds.
-EDGE_PAGES, EDGE_ROUNDS = 1500, 5
+EDGE_PAGES, EDGE_ROUNDS = 4000, 8
 #: Pages of a document from which on a line that isn't repeated counts as text for training.
 TELLING_PAGES = 4
 
