@@ -57,7 +57,7 @@ def test_words(spark):
 
 
 def test_distance_of_scans():
-    assert ocr_distance("rnodern", "modern") == pytest.approx(0.3)
+    assert ocr_distance("rnodern", "modern") == pytest.approx(0.2)
     assert ocr_distance("l", "1") < 0.3 and ocr_distance("a", "z") == 1.0 and ocr_distance("", "ab") == 2.0
 
 
