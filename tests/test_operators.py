@@ -235,3 +235,32 @@ def test_plans_run(spark):
     assert e.run([P("RELATED_PLACES", entity_id=5)]).where("entity_type = 'place'").count() > 0
     assert e.run([P("DATE_RANGE_FILTER", start="1996-01-01")]).count() > 0
     assert e.hybrid(["cipher"], [0.1] * 64, 5).count() == 5
+
+
+def test_trigram_join_in_many_cells(spark):
+    rng = random.Random(4)
+    names = [" ".join("".join(rng.choice("abé") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 3))) for _ in range(150)]
+    left = spark.createDataFrame([(n,) for n in [*names, *names[:9], None, "", "...", "A  a-b", "𝒳yz ab"]], "s string")
+    right = spark.createDataFrame([(n,) for n in [*names[:100], "a a b", "--", "𝒳yz abb"]], "s string")
+    x, y = left.where("s <> ''").distinct(), right.where("s <> ''").distinct().withColumnRenamed("s", "z")
+    for least in (0.3, 0.6):
+        want = {(r.s, r.z): r.v for r in x.join(y, F.col("s") != F.col("z")).withColumn("v", X.trigram_similarity("s", "z")).where(F.col("v") >= least).collect()}
+        got = [(r.a, r.b, r.similarity) for r in pipelines.trigram_join(left, right, "s", "s", least, block=40).collect()]
+        assert {(a, b): v for a, b, v in got} == want and len(got) == len(want) > 30
+    assert pipelines.trigram_join(left.limit(0), right, "s", "s", 0.3).count() == 0
+
+
+def test_trigram_join_shuffles_texts_and_no_pairs(spark):
+    """Names that all share a word: what is shuffled is in proportion to the names, not to the pairs that meet."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([("leopold " + "".join(rng.choice("abcdefghijklmnop") for _ in range(12)),) for _ in range(400)], "s string")
+    plan = pipelines.trigram_join(df, df, "s", "s", 0.6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4 and "Join" not in plan
+
+
+def test_few_meetings_at_a_time_give_the_same_pairs():
+    likeness = pytest.importorskip("archivolt.operators.likeness")
+    rng = random.Random(6)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(2, 9))) for _ in range(80)]
+    pairs = lambda **more: {(int(i), int(j), int(c)) for a, b, common, _ in likeness.like(words, words, 0.5, **more) for i, j, c in zip(a, b, common)}
+    assert pairs(room=7) == pairs() == pairs(meet=1) and len(pairs()) > 80
