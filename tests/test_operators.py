@@ -264,3 +264,24 @@ def test_few_meetings_at_a_time_give_the_same_pairs():
     words = ["".join(rng.choice("ab") for _ in range(rng.randint(2, 9))) for _ in range(80)]
     pairs = lambda **more: {(int(i), int(j), int(c)) for a, b, common, _ in likeness.like(words, words, 0.5, **more) for i, j, c in zip(a, b, common)}
     assert pairs(room=7) == pairs() == pairs(meet=1) and len(pairs()) > 80
+
+
+def test_claims_are_grounded_with_their_mentions(spark):
+    """Against pairs by hand: repeated mentions and chunks, chunks that are gone, texts that are null or have one name of two."""
+    mentions = spark.createDataFrame([(c, s) for c in (1, 2, 3, 4) for s in ("ann", "bob", "cy", "ann")] + [(5, "bob"), (5, "dee"), (6, "dee"), (6, "bob"), (7, "x"), (None, "ann"), (8, None)], "chunk_id int, surface_norm string")
+    chunks = spark.createDataFrame([(1, "Ann, Bob"), (1, "ANN saw b-ob"), (2, "ann"), (3, None), (7, "x")], "chunk_id int, body string")
+    claims = {(r.subject, r.object): (r.support, r.claim_id) for r in evidence.co_mention_claims(mentions, 2).collect()}
+    assert {k: n for k, (n, _) in claims.items()} == {("ann", "bob"): 4, ("ann", "cy"): 4, ("bob", "cy"): 4, ("bob", "dee"): 2}
+    got = {r.claim_id: (r.support, r.n_refs, r.n_attested) for r in evidence.grounded_claims(mentions, chunks, 2).collect()}
+    want = {("ann", "bob"): (4, 4, 2), ("ann", "cy"): (4, 4, 0), ("bob", "cy"): (4, 4, 0), ("bob", "dee"): (2, 0, 0)}
+    assert got == {claims[k][1]: v for k, v in want.items()}
+
+
+def test_a_frequent_name_is_grounded_without_a_join_of_its_mentions(spark, tmp_path):
+    from archivolt.queries import registry
+
+    for name, columns in (("mention_candidates", "chunk_id bigint, surface_norm string"), ("chunks", "chunk_id bigint, text string, clean_text string")):
+        spark.createDataFrame([], columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in ("claim_grounding", "uncited_claims"):
+        plan = registry.QUERIES[query](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 1 and "Join LeftOuter" in plan
