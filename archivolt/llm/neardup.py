@@ -34,9 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from archivolt.llm import cells
+from archivolt.llm.radix import local_path
 from archivolt.llm.readings import LOOKS, PAIRS
 from archivolt.operators.graph import components
-from archivolt.shared import cut, spread
+from archivolt.shared import cut, scratch, spread
 
 SHARE = 0.8
 GRAM = 4
@@ -294,23 +296,46 @@ def shared_words(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(n[i], m[j]).sum())
 
 
-def links(texts: DataFrame, share: float = SHARE, gram: int = GRAM, extra: float = EXTRA) -> DataFrame:
-    """a, b, similarity of every two texts (key, words) that are versions of each other, a < b, each verified once."""
-    pairs = candidates(texts, share, gram, extra)
+def links(texts: DataFrame, share: float = SHARE, gram: int = GRAM, extra: float = EXTRA, block: int = cells.BLOCK) -> DataFrame:
+    """a, b, similarity of every two texts (key, words) that are versions of each other, a < b, each verified once.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for a, b, x, y in zip(frame.a, frame.b, frame.x, frame.y):
-                x, y = np.sort(x), np.sort(y)
-                longer = max(len(x), len(y))
-                apart = len(x) + len(y) - 2 * int(np.ceil(share * longer - 1e-9))
-                if _suffix(x, y, apart) <= apart and (s := shared_words(x, y) / longer) >= share:
-                    rows.append((a, b, s))
-            yield pd.DataFrame(rows, columns=["a", "b", "similarity"])
-
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(texts.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint, similarity double")
+    Texts are written once in blocks of like length; every two blocks that may
+    hold versions are a task, which reads both (see ``cells``). The shared folder
+    has to be mounted on the executors.
+    """
+    spark = texts.sparkSession
+    bands = cells.blocks_of([tuple(r) for r in texts.groupBy(F.size("words").alias("n")).count().collect()], block)
+    todo = cells.cells_of(bands, share)
+    path = scratch(spark, "blocks")
+    if todo:
+        number, first = F.lit(0), 0
+        for lo, _, parts in bands:
+            number = F.when(F.col("n") >= lo, F.lit(first) + (F.pmod(F.xxhash64("key"), F.lit(parts)) if parts > 1 else F.lit(0))).otherwise(number)
+            first += parts
+        own = texts.select("key", "words", F.size("words").alias("n"))
+        own.select("key", "words", number.cast("int").alias("block")).write.partitionBy("block").parquet(path)
+    at = str(local_path(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number in (n for batch in batches for n in batch.column("id").to_pylist()):
+            i, j = todo[number]
+            x = cells.read(at, i)
+            y = x if i == j else cells.read(at, j)
+            if x is None or y is None:
+                continue
+            for left, right in cells.candidates(x, y, share, gram, extra):
+                rows = []
+                for p, q in zip(left.tolist(), right.tolist()):
+                    u, v = np.sort(x.words(p)), np.sort(y.words(q))
+                    longer = max(len(u), len(v))
+                    apart = len(u) + len(v) - 2 * int(np.ceil(share * longer - 1e-9))
+                    if _suffix(u, v, apart) <= apart and (alike := shared_words(u, v) / longer) >= share:
+                        rows.append((*sorted((int(x.keys[p]), int(y.keys[q]))), alike))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=found)
+
+    found = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+    return spark.range(0, len(todo), 1, max(1, len(todo))).mapInArrow(run, "a bigint, b bigint, similarity double").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, share: float = SHARE, gram: int = GRAM, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:

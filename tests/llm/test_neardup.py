@@ -95,3 +95,23 @@ def test_short_lists_of_words(spark):
     assert {(r.a, r.b) for r in D.links(df).collect()} == {(1, 2)}
     assert D.links(df.limit(0)).count() == 0
     assert list(D.n_grams(np.array([1, 2, 3]), 4)) == [] and len(D.numbered_words(np.array([1, 1, 1, 2]))) == 4
+
+
+def test_small_blocks_give_the_same_pairs(spark):
+    rng = random.Random(10)
+    texts = {}
+    for i in range(50):
+        a = words(rng, rng.choice((5, 9, 30, 31, 60, 120)), 500)
+        texts[10 * i] = a
+        for c in range(rng.randrange(3)):
+            texts[10 * i + c + 1] = [w if rng.random() > 0.12 else 40_000 + rng.randrange(900) for w in a]
+    texts[9001], texts[9002], texts[9003] = [7] * 40, [7] * 41, [7]
+    keys = sorted(texts)
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if alike(texts[a], texts[b])}
+    assert len(want) > 20 and linked(spark, texts, block=7) == linked(spark, texts, block=3) == want
+
+
+def test_no_pair_is_shuffled_before_its_words_are_compared(spark):
+    df = spark.createDataFrame([(k, [k, k + 1, 5, 6, 7, 8, 9]) for k in range(30)], "key long, words array<int>")
+    plan = D.links(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") <= 1
