@@ -1,5 +1,6 @@
 """Chunkers, lanes, window matches, dates and reading costs against plain versions."""
 
+import random
 from datetime import date
 
 import pytest
@@ -61,3 +62,18 @@ def test_reading_costs():
     assert n("", "") == 0 and n("abc", "") == n("", "abc") == 1 and n("abc", "xyz") > 0.5 and n("test", "test") == 0
     assert d("file", "fi1e") < d("file", "fixe") and d("LOOK", "L00K") < d("LOOK", "LXXK") and d("a", "A") < 0.3
     assert d("modern", "modem") == pytest.approx(0.2) and d("o'neil", "oneil") == pytest.approx(0.1) and d("ab", "ba") == 2
+
+
+def test_near_words_against_all_pairs(spark):
+    rng = random.Random(12)
+    words = {"".join(rng.choice("abc") for _ in range(n)) for n in (3, 4, 5, 6, 7, 22, 23, 24, 25, 26, 27, 40, 90) for _ in range(6)}
+    for w in sorted(words):
+        for _ in range(3):
+            i = rng.randrange(len(w))
+            words.add(rng.choice([w[:i] + w[i + 1 :], w[:i] + "b" + w[i:], w[: i // 2] + "c" + w[i // 2 : i] + w[i + 1 :], "x" + w[1:] + "y", "xy" + w, w[2:], w[: i // 2] + "a" + w[i // 2 :] + "q"]))
+    words.add("z" * 5000)
+    odd = spark.createDataFrame([(w,) for w in words if len(w) >= 5], "odd string")
+    seen = spark.createDataFrame([(w,) for w in words if len(w) >= 3], "seen string")
+    want = {(r.odd, r.seen, r.e) for r in odd.join(seen, F.col("odd") != F.col("seen")).withColumn("e", F.levenshtein("odd", "seen", 2)).where("e >= 0").collect()}
+    got = [tuple(r) for r in V.near_words(odd, seen, 2).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
