@@ -37,24 +37,27 @@ def reading_cost(a: str, b: str) -> float:
 @lru_cache(maxsize=100_000)
 def ocr_distance(a: str, b: str) -> float:
     """Edit distance in which readings that scans confuse cost less, pairs of letters, case and lost signs included."""
-    rows = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            if not i and not j:
-                continue
-            options = []
-            if i:
-                options.append(rows[i - 1][j] + _COST.get((a[i - 1], ""), 1.0))
-            if j:
-                options.append(rows[i][j - 1] + _COST.get((b[j - 1], ""), 1.0))
-            if i and j:
-                options.append(rows[i - 1][j - 1] + reading_cost(a[i - 1], b[j - 1]))
-            if i > 1 and j:
-                options.append(rows[i - 2][j - 1] + _COST.get((a[i - 2 : i], b[j - 1]), 2.0))
-            if j > 1 and i:
-                options.append(rows[i - 1][j - 2] + _COST.get((a[i - 1], b[j - 2 : j]), 2.0))
-            rows[i][j] = min(options)
-    return rows[-1][-1]
+    lost_b = [_COST.get((y, ""), 1.0) for y in b]
+    pairs_b = [b[j - 1 : j + 1] if j else "" for j in range(len(b))]
+    before, last = [], [0.0]
+    for c in lost_b:
+        last.append(last[-1] + c)
+    for i, x in enumerate(a):
+        lost, pair = _COST.get((x, ""), 1.0), a[i - 1 : i + 1] if i else ""
+        now = [last[0] + lost]
+        for j, y in enumerate(b):
+            best = min(last[j + 1] + lost, now[j] + lost_b[j], last[j] + (0.0 if x == y else _letter_cost(x, y)))
+            # two letters for one cost no more than a change and a loss where nothing is known of them
+            if pair and (c := _COST.get((pair, y))) is not None and before[j] + c < best:
+                best = before[j] + c
+            if j and (c := _COST.get((x, pairs_b[j]))) is not None and last[j - 1] + c < best:
+                best = last[j - 1] + c
+            now.append(best)
+        before, last = last, now
+    return last[-1]
+
+
+_letter_cost = lru_cache(maxsize=100_000)(reading_cost)
 
 
 def normalized_ocr_distance(a: str, b: str) -> float:

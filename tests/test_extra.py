@@ -77,3 +77,12 @@ def test_near_words_against_all_pairs(spark):
     want = {(r.odd, r.seen, r.e) for r in odd.join(seen, F.col("odd") != F.col("seen")).withColumn("e", F.levenshtein("odd", "seen", 2)).where("e >= 0").collect()}
     got = [tuple(r) for r in V.near_words(odd, seen, 2).collect()]
     assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_two_letters_for_one_are_looked_up_only_where_they_are_known(monkeypatch):
+    """The distance asks for the cost of a pair of letters once, and looks up known costs of single letters in its memo."""
+    asked = []
+    monkeypatch.setattr(distance, "reading_cost", lambda a, b: asked.append((a, b)) or 1.0)
+    distance.ocr_distance.cache_clear()
+    assert distance.ocr_distance("barn clerk", "bam derk") == 0.5 and not asked
+    distance.ocr_distance.cache_clear()
