@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from archivolt.operators import pipelines
+from archivolt.operators import pipelines, resolution
 from archivolt.queries import registry
 
 NAMES = [f"leopold kuznetsov {x}" for x in "abcdefghijklmnopqrstuvwxyz"] + ["anna petrova", "anna petrovna", "…", "bureau"]
@@ -99,3 +99,12 @@ def test_similarity_is_rounded_as_round_does_it(spark):
     got = (likeness.similarity(c, t) / 1e6).tolist()
     want = spark.createDataFrame(pairs, "c int, t int").select(F.round(F.col("c") / (F.col("t") - F.col("c")), 6)).toArrow().column(0).to_pylist()
     assert got == want
+
+
+def test_entity_lookup_takes_two_pairs_of_a_surface(spark, folder, monkeypatch):
+    taken, join = [], resolution.trigram_join
+    monkeypatch.setattr(resolution, "trigram_join", lambda *args, **more: taken.append(join(*args, **more)) or taken[-1])
+    got = registry.QUERIES["entity_lookup"](spark, folder)
+    assert taken[0].groupBy("a").count().agg(F.max("count")).first()[0] == 2
+    monkeypatch.setattr(resolution, "trigram_join", lambda *args, top: join(*args))
+    assert sorted(got.collect()) == sorted(registry.QUERIES["entity_lookup"](spark, folder).collect()) and got.count() == 29
