@@ -108,3 +108,12 @@ def test_entity_lookup_takes_two_pairs_of_a_surface(spark, folder, monkeypatch):
     assert taken[0].groupBy("a").count().agg(F.max("count")).first()[0] == 2
     monkeypatch.setattr(resolution, "trigram_join", lambda *args, top: join(*args))
     assert sorted(got.collect()) == sorted(registry.QUERIES["entity_lookup"](spark, folder).collect()) and got.count() == 29
+
+
+def test_resolve_surfaces_takes_eleven_pairs_of_a_surface(spark, folder, monkeypatch):
+    taken, resolved = [], pipelines.resolved
+    monkeypatch.setattr(pipelines, "resolved", lambda pairs: taken.append(pairs) or resolved(pairs))
+    got = registry.QUERIES["resolve_surfaces"](spark, folder)
+    assert taken[0].groupBy("a").count().agg(F.max("count")).first()[0] == 11
+    whole = resolved(registry.QUERIES["trigram_join"](spark, folder)).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.withColumn("place", F.col("place").cast("bigint")).collect())) and got.count() > 260
